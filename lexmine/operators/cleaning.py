@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine import rules
-from lexmine.functions.text import fold, normalize, word_count, words
+from lexmine.functions.text import fold, normalize, word_count
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -34,8 +34,8 @@ def is_low_value(keyword: Column) -> Column:
 
 
 def is_all_stopwords(keyword: Column) -> Column:
-    stopwords = F.array(*[F.lit(w) for w in rules.STOPWORDS])
-    return F.size(F.array_except(words(keyword), stopwords)) == 0
+    stopword = f"(?:{'|'.join(rules.STOPWORDS)})"
+    return keyword.rlike(rf"^{stopword}(?: {stopword})*\z")
 
 
 def keep_keyword(keyword: Column) -> Column:
@@ -63,6 +63,13 @@ def normalized(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Normalise, filter, merge duplicates: records -> one row per (root, keyword)."""
-    kept = normalized(df).where(keep_keyword(F.col("keyword")))
-    return merge_duplicates(kept)
+    """Normalise, filter, merge duplicates: records -> one row per (root, keyword).
+
+    The filters look at the keyword alone, so they commute with the merge. The size tests are cheap and keep long
+    texts out of the shuffle; the regex tests wait until duplicates are gone.
+    """
+    keyword = F.col("keyword")
+    sized = normalized(df).where(length_ok(keyword) & words_ok(keyword))
+    merged = merge_duplicates(sized)
+    wanted = ~is_all_stopwords(keyword) & ~is_low_value(keyword)
+    return once(merged, _wanted=wanted).where("_wanted").drop("_wanted")

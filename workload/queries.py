@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from workload import labelling  # noqa: F401
+from workload import labelling, requesting  # noqa: F401
 from workload.registry import EXPECTED, QUERIES  # noqa: F401
