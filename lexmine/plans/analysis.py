@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine import rules
 from lexmine.operators.cleaning import clean
+from lexmine.operators.cluster_fit import fit
+from lexmine.operators.clusters import SMALL_LABEL, is_small, with_labels
+from lexmine.operators.joins import salted_join
 from lexmine.operators.labels import label
+from lexmine.session import cut_lineage
 
 
 def analyze(records: DataFrame) -> DataFrame:
@@ -30,3 +34,18 @@ def final_keyword_map(labelled: DataFrame, include_low: bool = True, sort: bool
     if not sort:
         return kept
     return kept.orderBy(value_order(F.col("commercial_value")), "keyword_type", "keyword", "root_keyword")
+
+
+def cluster(labelled: DataFrame, **settings) -> DataFrame:
+    """Add cluster_id and cluster_label, one model per root; roots below three keywords get the fixed label.
+
+    The fit reads its input several times, so the input is written to the checkpoint folder first. Errors are
+    raised, not turned into a single cluster.
+    """
+    labelled = cut_lineage(labelled)
+    ids = fit(labelled, **settings)
+    found = labelled.join(ids, ["root_keyword", "keyword"])
+    sizes = labelled.groupBy("root_keyword").agg(F.count(F.lit(1)).alias("_rows"))
+    named = salted_join(with_labels(found), sizes, ["root_keyword"], "keyword")
+    text = F.when(is_small(F.col("_rows")), SMALL_LABEL).otherwise(F.col("cluster_label"))
+    return named.select(*labelled.columns, "cluster_id", text.alias("cluster_label"))

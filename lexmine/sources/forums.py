@@ -23,7 +23,9 @@ def question_sentences(text: Column, strict: bool = True) -> Column:
     if strict:
         sentences = F.filter(F.split(text, r"[.!?\n]", -1), lambda s: F.contains(s, F.lit("?")))
     else:
-        sentences = F.regexp_extract_all(text, F.lit(r"([^.!?\n]*)\?"), 1)
+        # Cut after each mark: one pass over the text, however long its sentences are.
+        pieces = F.filter(F.split(text, r"(?<=[.!?\n])", -1), lambda s: s.endswith("?"))
+        sentences = F.transform(pieces, lambda s: F.substring(s, F.lit(1), F.length(s) - 1))
     return F.filter(F.transform(sentences, strip), lambda s: F.length(s).between(11, 199))
 
 
