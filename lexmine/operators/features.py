@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexmine import rules
 from lexmine.operators.joins import salted_join
 from lexmine.operators.reports import ranked
+from lexmine.session import cut_lineage
 
 ROOT = "root_keyword"
+BROADCAST_ROWS = 1_000_000  # vocabulary rows, about 60 bytes each, that are sent to every task
 
 
 def char_ngrams(keyword: Column) -> Column:
@@ -30,11 +32,11 @@ def gram_counts(df: DataFrame, scope: str = ROOT) -> DataFrame:
 def vocabulary(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_FEATURES) -> DataFrame:
     """The most frequent grams of each scope with their smoothed idf; ``idx`` numbers them from 0.
 
-    Each task keeps at most ``max_features`` grams per scope before they meet.
+    A scope's grams are cut to ``max_features`` in each of their splits before they meet.
     """
     n = df.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"))
     found = gram_counts(df, scope).groupBy(scope, "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
-    top = ranked(found, [scope], [F.desc("_total"), F.col("gram")], max_features)
+    top = ranked(found, [scope], [F.desc("_total"), F.col("gram")], max_features, "gram")
     idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return top.join(n, scope).select(scope, "gram", (F.col("rank") - 1).alias("idx"), idf.alias("idf"))
 
@@ -42,9 +44,16 @@ def vocabulary(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_F
 def tfidf(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_FEATURES) -> DataFrame:
     """One row per keyword with its grams as an array of (gram, idx, weight); weights have length 1.
 
-    Gram joins are salted: a common gram of a large scope occurs in most of its keywords.
+    Only the narrow keywords are shuffled, once: their grams stay with them. The vocabulary is built first and
+    counted. Up to ``BROADCAST_ROWS`` it is broadcast and the grams are looked up in place; beyond that they are
+    joined by gram, salted because a common gram of a large scope occurs in most of its keywords.
     """
-    terms = salted_join(gram_counts(df, scope), vocabulary(df, scope, max_features), [scope, "gram"], "keyword")
+    keywords = df.select(scope, "keyword").repartition(scope, "keyword")
+    terms, vocab = gram_counts(keywords, scope), cut_lineage(vocabulary(keywords, scope, max_features))
+    if vocab.count() <= BROADCAST_ROWS:
+        terms = terms.join(F.broadcast(vocab), [scope, "gram"])
+    else:
+        terms = salted_join(terms, vocab, [scope, "gram"], "keyword", salts=8)
     weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
     weighted = terms.select(scope, "keyword", "gram", "idx", weight.alias("w"))
     rows = weighted.groupBy(scope, "keyword").agg(

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 SALTS = 32
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, how: str = "inner") -> DataFrame:
-    """Equi-join that splits every key of ``left`` over ``SALTS`` tasks by ``spread_by``.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, salts: int = SALTS) -> DataFrame:
+    """Equi-join that splits every key of ``left`` over ``salts`` tasks by ``spread_by``.
 
     ``right`` has one row per key and is repeated once per salt. Where it turns out small, adaptive execution
     broadcasts it instead, by its measured size.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")

@@ -41,10 +41,25 @@ def distributions(labelled: DataFrame) -> DataFrame:
     return grouped.select(name.alias("distribution"), ROOT, "keyword_type", "search_intent", "commercial_value", "n")
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
-    """Number rows inside each group; with ``k`` only the first k, cut per task before the shuffle."""
-    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return out if k is None else out.where(F.col("rank") <= k)
+LIMIT_PUSHED = 1000  # above this the optimizer no longer cuts ranks per task before the shuffle
+SPLITS = 64
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, spread_by: str = "keyword") -> DataFrame:
+    """Number rows inside each group; with ``k`` only the first k, cut per task before the shuffle.
+
+    For a large ``k`` every group is first cut to k in each of its splits by ``spread_by``, so that one group never
+    meets in a single task as a whole.
+    """
+    def first(frame: DataFrame, keys: list) -> DataFrame:
+        return frame.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    if k is None:
+        return first(df, by)
+    if k > LIMIT_PUSHED:
+        split = F.pmod(F.xxhash64(spread_by), F.lit(SPLITS))
+        df = first(df.withColumn("_split", split), [*by, "_split"]).where(F.col("rank") <= k).drop("_split", "rank")
+    return first(df, by).where(F.col("rank") <= k)
 
 
 def top_high_value(labelled: DataFrame, k: int = rules.TOP_KEYWORDS) -> DataFrame:
@@ -133,17 +148,19 @@ BY_ROOT_HEAD, BY_ROOT_LINE = "【各词根采集量（原始）】", "  %-40s %5
 ALL_TYPES_HEAD = "【全局关键词类型分布】"
 
 
-def _framed(df: DataFrame, section: int, head: str, line: Column, by: list[str]) -> DataFrame:
-    """Ranked rows as a section: heading at 0, rows at their rank, and a blank line after the last."""
-    rows = df.select(*by, F.lit(section).alias("section"), F.col("rank").cast("bigint").alias("line_no"), line.alias("line"))
-    ends = df.groupBy(*by).agg(F.max("rank").alias("last")).select(
-        *by, F.lit(section).alias("section"),
-        F.inline(F.array(
-            F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(head).alias("line")),
-            F.struct((F.col("last") + 1).cast("bigint").alias("line_no"), F.lit("").alias("line")),
-        )),
+def _framed(df: DataFrame, head: Column, line: Column) -> DataFrame:
+    """Ranked rows of (root_keyword, section) as lines: the heading at 0, each row at its rank, a blank at the end."""
+    def at(number: Column, text: Column) -> Column:
+        return F.struct(number.cast("bigint").alias("line_no"), text.alias("line"))
+
+    whole = Window.partitionBy(ROOT, "section")
+    rank = F.col("rank")
+    lines = F.array(
+        F.when(rank == 1, at(F.lit(0), head)), at(rank, line), F.when(rank == F.col("_last"), at(rank + 1, F.lit("")))
+    )
+    return df.withColumn("_last", F.max("rank").over(whole)).select(
+        ROOT, "section", F.inline(F.filter(lines, lambda x: x.isNotNull()))
     )
-    return rows.unionByName(ends)
 
 
 def _fixed(df: DataFrame, section: int, lines: list[Column], by: list[str]) -> DataFrame:
@@ -153,30 +170,41 @@ def _fixed(df: DataFrame, section: int, lines: list[Column], by: list[str]) -> D
 
 def report_lines(records: DataFrame, labelled: DataFrame, clustered: DataFrame, generated_at: str) -> DataFrame:
     """The report of every root as rows (root_keyword, section, line_no, line)."""
-    by = [ROOT]
-    desc = F.desc("n")
-    totals = root_totals(records, labelled)
-    shares = distributions(labelled)
+    channels = counts(records, ROOT, "channel")
+    shares = distributions(labelled).where(F.col("distribution") != "type").select(
+        ROOT, "distribution", F.coalesce("keyword_type", "search_intent", "commercial_value").alias("label"), "n"
+    )
+    raw = channels.groupBy(ROOT).agg(F.sum("n").alias("raw_rows"))
+    clean = shares.where(F.col("distribution") == "root_value").groupBy(ROOT).agg(F.sum("n").alias("clean_rows"))
+    totals = raw.join(clean, ROOT, "left").withColumn("clean_rows", F.coalesce("clean_rows", F.lit(0)))
+    totals = totals.withColumn("rate_text", dedup_rate(F.col("raw_rows"), F.col("clean_rows"))[1])
+    bar = F.lit(BAR)
     head = _fixed(totals, 0, [
-        F.lit(BAR), F.lit(ROOT_TITLE), F.format_string(ROOT_LINE, ROOT), F.lit(TIME_LINE % generated_at), F.lit(BAR),
+        bar, F.lit(ROOT_TITLE), F.format_string(ROOT_LINE, ROOT), F.lit(TIME_LINE % generated_at), bar,
         F.lit(""), F.lit(TOTALS_HEAD), F.format_string(RAW_LINE, "raw_rows"),
         F.format_string(CLEAN_LINE, "clean_rows"), F.format_string(RATE_LINE, "rate_text"), F.lit(""),
-    ], by)
-    channels = ranked(counts(records, ROOT, "channel"), by, [desc, F.col("channel")])
-    sections = [head, _framed(channels, 1, CHANNEL_HEAD, F.format_string(CHANNEL_LINE, "channel", "n"), by)]
-    for section, (name, column, title, line) in enumerate([
-        ("root_type", "keyword_type", TYPE_HEAD, TYPE_LINE),
-        ("root_intent", "search_intent", INTENT_HEAD, INTENT_LINE),
-        ("root_value", "commercial_value", VALUE_HEAD, VALUE_LINE),
-    ], start=2):
-        share = ranked(shares.where(F.col("distribution") == name), by, [desc, F.col(column)])
-        sections.append(_framed(share, section, title, F.format_string(line, column, "n"), by))
-    sections += [
-        _framed(top_high_value(labelled), 5, TOP_HEAD, F.format_string(TOP_LINE, "keyword"), by),
-        _framed(top_clusters(clustered), 6, CLUSTER_HEAD, F.format_string(CLUSTER_LINE, "cluster_label", "n"), by),
-        _fixed(totals, 7, [F.lit(BAR)], by),
-    ]
-    return reduce(DataFrame.unionByName, sections)
+    ], [ROOT])
+    # All counted sections share one ranking.
+    section = F.when(F.col("distribution") == "root_type", 2).when(F.col("distribution") == "root_intent", 3).otherwise(4)
+    counted = channels.select(ROOT, F.lit(1).alias("section"), F.col("channel").alias("label"), "n").unionByName(
+        shares.select(ROOT, section.alias("section"), "label", "n")
+    )
+    counted = ranked(counted, [ROOT, "section"], [F.desc("n"), F.col("label")])
+    title, text = F.lit(CHANNEL_HEAD), F.format_string(CHANNEL_LINE, "label", "n")
+    for number, heading, line in [
+        (2, TYPE_HEAD, TYPE_LINE), (3, INTENT_HEAD, INTENT_LINE), (4, VALUE_HEAD, VALUE_LINE),
+    ]:
+        here = F.col("section") == number
+        title = F.when(here, F.lit(heading)).otherwise(title)
+        text = F.when(here, F.format_string(line, "label", "n")).otherwise(text)
+    top = top_high_value(labelled).withColumn("section", F.lit(5))
+    groups = top_clusters(clustered).withColumn("section", F.lit(6))
+    return reduce(DataFrame.unionByName, [
+        head, _framed(counted, title, text),
+        _framed(top, F.lit(TOP_HEAD), F.format_string(TOP_LINE, "keyword")),
+        _framed(groups, F.lit(CLUSTER_HEAD), F.format_string(CLUSTER_LINE, "cluster_label", "n")),
+        _fixed(totals, 7, [bar], [ROOT]),
+    ])
 
 
 def global_report_lines(

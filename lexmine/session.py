@@ -7,13 +7,13 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Adaptive execution sizes the shuffles; the object-hash threshold keeps the dedup aggregate hashing.
+# Adaptive execution sizes the shuffles, splits skewed ones, and hashes where every build side is small.
 CLUSTER_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmine.operators import clusters, features, reports
+from lexmine.operators.cleaning import clean
 from lexmine.plans.analysis import analyze
 from lexmine.sinks.files import conform
 from workload import sql_base as s
@@ -47,7 +48,7 @@ tf AS (SELECT root_keyword, keyword, gram, count(*) AS tf FROM grams GROUP BY AL
 @query("char_ngrams", f"WITH {GRAMS_SQL} SELECT root_keyword, gram, sum(tf)::BIGINT AS n, count(*) AS keywords FROM tf GROUP BY ALL")
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each gram in each root's keywords."""
-    counts = features.gram_counts(analyze(records(spark, sf_dir)).select("root_keyword", "keyword"))
+    counts = features.gram_counts(clean(records(spark, sf_dir)))
     return counts.groupBy("root_keyword", "gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("keywords"))
 
 
@@ -64,7 +65,7 @@ SELECT root_keyword, gram, count(*) AS keywords, round(sum(w), 6) AS weight, rou
 FROM scaled GROUP BY ALL""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit-length TF-IDF of every keyword, summed up per gram."""
-    rows = features.tfidf(analyze(records(spark, sf_dir)).select("root_keyword", "keyword"))
+    rows = features.tfidf(clean(records(spark, sf_dir)))
     terms = rows.select("root_keyword", F.inline("terms"))
     return terms.groupBy("root_keyword", "gram").agg(
         F.count(F.lit(1)).alias("keywords"), F.round(F.sum("weight"), 6).alias("weight"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmine.operators import reports
+from lexmine.operators.clusters import with_labels
 from lexmine.plans.analysis import cluster
+from lexmine.session import cut_lineage
 from workload.captures import records, table
-from workload.clustering import CLUSTERED_SQL, fixed_clusters, labelled
+from workload.clustering import CLUSTERED_SQL, labelled, with_fixed_ids
 from workload.registry import query
 from workload import sql_base as s
 
@@ -86,8 +88,8 @@ UNION ALL SELECT root_keyword, 7, 0, '{BAR}' FROM totals"""
 
 @query("report_lines", REPORT_SQL)
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = labelled(spark, sf_dir)
-    return reports.report_lines(records(spark, sf_dir), found, fixed_clusters(spark, sf_dir), AT)
+    found = cut_lineage(labelled(spark, sf_dir))
+    return reports.report_lines(records(spark, sf_dir), found, with_labels(with_fixed_ids(found)), AT)
 
 
 @query("report_lines_global", f"""WITH {CLUSTERED_SQL},
@@ -102,6 +104,6 @@ UNION ALL SELECT 2, 4, '  聚类数量:        ' || count(DISTINCT cluster_id) F
 UNION ALL SELECT 4, -n, {_padded('root_keyword', 40, 'n', 5)} FROM (SELECT root_keyword, count(*) AS n FROM records GROUP BY ALL)
 UNION ALL SELECT 7, -n, {_padded('keyword_type', 40, 'n', 5)} FROM (SELECT keyword_type, count(*) AS n FROM labelled GROUP BY ALL)""")
 def report_lines_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = labelled(spark, sf_dir)
+    found = cut_lineage(labelled(spark, sf_dir))
     roots = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("root_keyword")).agg(F.min("p_partkey").alias("position"))
-    return reports.global_report_lines(records(spark, sf_dir), found, fixed_clusters(spark, sf_dir), roots, AT)
+    return reports.global_report_lines(records(spark, sf_dir), found, with_labels(with_fixed_ids(found)), roots, AT)
