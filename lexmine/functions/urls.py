@@ -39,7 +39,8 @@ def _resolve_dots(parts: Column) -> Column:
     kept = F.aggregate(tidy, none, step)
     kept = F.when(_last(tidy).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
     joined = F.array_join(kept, "/")
-    return F.when(joined == "", "/").otherwise(joined)
+    # Going up past the top drops the leading empty part.
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def join(base: Column, link: Column) -> Column:

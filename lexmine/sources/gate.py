@@ -40,10 +40,11 @@ def record_gate(df: DataFrame) -> DataFrame:
 def emit(responses: DataFrame, rows: Column) -> DataFrame:
     """Records of each response from its array of rows, in array order. NULL arrays give nothing."""
     at = F.col("collected_at") if "collected_at" in responses.columns else F.localtimestamp()
-    # The array is fixed before it is exploded, so that later column pruning cannot make it run twice.
+    # The outer form: for the inner one the optimizer adds a test of the array's size below, which would parse every
+    # body a second time. The gate drops the NULL row of an empty array.
     opened = responses.select(
         "root_keyword", "channel", F.col("seq").alias("_seq"), at.alias("collected_at"), rows.alias("_rows")
-    ).select("root_keyword", "channel", "_seq", "collected_at", F.posexplode("_rows").alias("_pos", "_row"))
+    ).select("root_keyword", "channel", "_seq", "collected_at", F.posexplode_outer("_rows").alias("_pos", "_row"))
     return record_gate(opened.select(
         "root_keyword", "channel", "collected_at",
         (F.col("_seq") * F.lit(ROWS_PER_RESPONSE) + F.col("_pos")).alias("seq"), "_row.*",

@@ -38,7 +38,7 @@ def discovered(resolved: DataFrame) -> DataFrame:
     pages = with_elements(endpoint_rows(resolved, "competitor", "discovery"), BLOCK, LINK)
     els = F.col("els")
     found = pages.select(
-        "root_keyword", F.posexplode(select(els, within(els, BLOCK, LINK))).alias("seq", "_link")
+        "root_keyword", F.posexplode_outer(select(els, within(els, BLOCK, LINK))).alias("seq", "_link")
     ).select("root_keyword", "seq", F.col("_link")["attrs"]["href"].alias("href"))
     return competitor_links(found).select(
         "root_keyword", F.lit("competitor").alias("channel"), F.lit("page").alias("endpoint"),

@@ -365,7 +365,7 @@ found AS (SELECT id, unnest(regexp_extract_all(text, '([^.!?\\n]*)\\?', 1)) AS s
 SELECT id, {s.strip('sentence')} AS sentence FROM found WHERE length({s.strip('sentence')}) BETWEEN 11 AND 199""")
 def question_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = forums.question_sentences(F.col("text"), strict=False)
-    return _texts(spark, sf_dir).select("id", F.explode(asked).alias("sentence"))
+    return _texts(spark, sf_dir).select("id", F.explode_outer(asked).alias("sentence")).where(F.col("sentence").isNotNull())
 
 
 @query("question_sentences_strict", f"""WITH {_TEXTS_SQL},
@@ -373,7 +373,7 @@ found AS (SELECT id, unnest(regexp_split_to_array(text, '[.!?\\n]')) AS sentence
 SELECT id, {s.strip('sentence')} AS sentence FROM found WHERE contains(sentence, '?') AND length({s.strip('sentence')}) BETWEEN 11 AND 199""")
 def question_sentences_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = forums.question_sentences(F.col("text"))
-    return _texts(spark, sf_dir).select("id", F.explode(asked).alias("sentence"))
+    return _texts(spark, sf_dir).select("id", F.explode_outer(asked).alias("sentence")).where(F.col("sentence").isNotNull())
 
 
 # ---- web pages ---------------------------------------------------------------------------------
@@ -449,9 +449,9 @@ def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmine.functions import urls
 
     pages = webpages.with_page_elements(web_pages(spark, sf_dir))
-    found = pages.select("seq", "root_keyword", "url", F.explode(webpages.anchors(F.col("els"), F.col("root_keyword"))).alias("a"))
+    found = pages.select("seq", "root_keyword", "url", F.explode_outer(webpages.anchors(F.col("els"), F.col("root_keyword"))).alias("a"))
     href = F.col("a")["attrs"]["href"]
-    return found.select(
+    return found.where(F.col("a").isNotNull()).select(
         "seq", "root_keyword", F.col("a")["text"].alias("anchor"), href.alias("href"), urls.join(F.col("url"), href).alias("url")
     )
 
@@ -512,7 +512,7 @@ SELECT page_id, tag, count(*) AS n FROM tags GROUP BY ALL""")
 def dom_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element of every page, counted by page and tag."""
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
-    found = pages.withColumn("els", elements(F.col("html"))).select("page_id", F.explode("els").alias("e"))
+    found = pages.withColumn("els", elements(F.col("html"))).select("page_id", F.explode_outer("els").alias("e")).where(F.col("e").isNotNull())
     return found.groupBy("page_id", F.col("e")["tag"].alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -526,7 +526,8 @@ def select_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     nav, link = is_a("nav"), is_a("a", attr="href")
     pages = spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body")))
     pages = results.with_elements(pages, nav, link)
-    found = pages.select("page_id", F.explode(select(F.col("els"), within(F.col("els"), nav, link))).alias("e"))
+    found = pages.select("page_id", F.explode_outer(select(F.col("els"), within(F.col("els"), nav, link))).alias("e"))
+    found = found.where(F.col("e").isNotNull())
     return found.groupBy("page_id", F.col("e")["attrs"]["href"].alias("href")).agg(F.count(F.lit(1)).alias("n"))
 
 
