@@ -53,7 +53,7 @@ def merge_duplicates(df: DataFrame, scope: str = "root_keyword", merge_channel:
     rest = [c for c in df.columns if c not in {scope, "keyword", *merged}]
     out = df.groupBy(scope, "keyword").agg(
         F.min_by(F.struct(*rest), "seq").alias("_first"),
-        *[F.array_join(F.array_sort(F.collect_set(c)), "|").alias(c) for c in merged],
+        *[F.array_join(F.sort_array(F.collect_set(c)), "|").alias(c) for c in merged],
     )
     return out.select(*[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 

@@ -73,6 +73,10 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids, np.maximum(squared[np.arange(len(points)), ids], 0)
 
 
+def cluster_sums(points: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    return np.column_stack([np.bincount(ids, weights=column, minlength=k) for column in points.T])
+
+
 def start_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++: each next centre with probability proportional to its squared distance."""
     centres = [points[rng.integers(len(points))]]
@@ -91,9 +95,7 @@ def lloyd(points: np.ndarray, centres: np.ndarray, iterations: int) -> tuple[np.
     ids, gap = nearest(points, centres)
     for _ in range(iterations):
         sizes = np.bincount(ids, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, ids, points)
-        moved = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+        moved = np.where(sizes[:, None] > 0, cluster_sums(points, ids, len(centres)) / np.maximum(sizes, 1)[:, None], centres)
         empty = np.flatnonzero(sizes == 0)
         moved[empty] = points[np.argsort(gap)[::-1][:len(empty)]]  # an empty cluster takes the farthest point
         shift = ((moved - centres) ** 2).sum()
@@ -231,9 +233,10 @@ def kmeans_large(points: DataFrame, k: int, dims: int, seed: int) -> DataFrame:
         out = np.zeros((starts * k, dims + 2))
         for i in range(starts):
             ids, gap = nearest(rows, centres[i * k:(i + 1) * k])
-            np.add.at(out[:, :dims], ids + i * k, rows)
-            np.add.at(out[:, dims], ids + i * k, 1)
-            np.add.at(out[:, dims + 1], ids + i * k, gap)
+            here = slice(i * k, (i + 1) * k)
+            out[here, :dims] = cluster_sums(rows, ids, k)
+            out[here, dims] = np.bincount(ids, minlength=k)
+            out[here, dims + 1] = np.bincount(ids, weights=gap, minlength=k)
         return _as_rows(key[0], out)
 
     def moved(key: tuple, model: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
@@ -282,8 +285,7 @@ def fit(
 ) -> DataFrame:
     """Cluster id of every keyword: (root_keyword, keyword, cluster_id). Keywords are unique inside a root."""
     terms = tfidf(df.select(ROOT, "keyword")).select(
-        ROOT, "keyword",
-        F.transform("terms", lambda t: t["idx"]).alias("idx"), F.transform("terms", lambda t: t["weight"]).alias("weight"),
+        ROOT, "keyword", F.col("terms.idx").alias("idx"), F.col("terms.weight").alias("weight")
     )
     sizes = df.groupBy(ROOT).agg(F.count(F.lit(1)).alias("rows"))
     rows = salted_join(terms, sizes, [ROOT], "keyword")

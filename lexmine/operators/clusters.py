@@ -62,10 +62,10 @@ def summary(clustered: DataFrame, k: int = rules.SAMPLE_KEYWORDS) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.min_by("cluster_label", "seq").alias("label")
     ).groupBy(*by).agg(
         F.sum("n").alias("keyword_count"), F.min_by("label", "seq").alias("cluster_label"),
-        F.array_sort(F.collect_list(F.struct("seq", "keyword_type"))).alias("_kinds"),
+        F.sort_array(F.collect_list(F.struct("seq", "keyword_type"))).alias("_kinds"),
     )
     samples = ranked(clustered.select(*by, "seq", "keyword"), by, [F.col("seq")], k).groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("_samples")
+        F.sort_array(F.collect_list(F.struct("rank", "keyword"))).alias("_samples")
     )
     return kinds.join(samples, by).select(
         *by, "cluster_label", "keyword_count",

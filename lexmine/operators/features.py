@@ -48,7 +48,9 @@ def tfidf(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_FEATUR
     counted. Up to ``BROADCAST_ROWS`` it is broadcast and the grams are looked up in place; beyond that they are
     joined by gram, salted because a common gram of a large scope occurs in most of its keywords.
     """
-    keywords = df.select(scope, "keyword").repartition(scope, "keyword")
+    # A fixed number: each keyword grows into about a hundred grams, which adaptive coalescing cannot foresee.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keywords = df.select(scope, "keyword").repartition(tasks, scope, "keyword")
     terms, vocab = gram_counts(keywords, scope), cut_lineage(vocabulary(keywords, scope, max_features))
     if vocab.count() <= BROADCAST_ROWS:
         terms = terms.join(F.broadcast(vocab), [scope, "gram"])
@@ -57,7 +59,7 @@ def tfidf(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_FEATUR
     weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
     weighted = terms.select(scope, "keyword", "gram", "idx", weight.alias("w"))
     rows = weighted.groupBy(scope, "keyword").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "gram", "w"))).alias("terms"),
+        F.sort_array(F.collect_list(F.struct("idx", "gram", "w"))).alias("terms"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
     )
     scaled = F.transform("terms", lambda t: F.struct(t["gram"], t["idx"], (t["w"] / F.col("_norm")).alias("weight")))

@@ -43,7 +43,7 @@ def cluster(labelled: DataFrame, **settings) -> DataFrame:
     raised, not turned into a single cluster.
     """
     labelled = cut_lineage(labelled)
-    ids = fit(labelled, **settings)
+    ids = cut_lineage(fit(labelled, **settings))  # read twice: for the rows and for their labels
     found = labelled.join(ids, ["root_keyword", "keyword"])
     sizes = labelled.groupBy("root_keyword").agg(F.count(F.lit(1)).alias("_rows"))
     named = salted_join(with_labels(found), sizes, ["root_keyword"], "keyword")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexmine.operators import clusters, features, reports
 from lexmine.operators.cleaning import clean
 from lexmine.plans.analysis import analyze
+from lexmine.session import cut_lineage
 from lexmine.sinks.files import conform
 from workload import sql_base as s
 from workload.captures import records
@@ -35,7 +36,7 @@ def with_fixed_ids(df: DataFrame) -> DataFrame:
 
 
 def fixed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.with_labels(with_fixed_ids(labelled(spark, sf_dir)))
+    return clusters.with_labels(with_fixed_ids(cut_lineage(labelled(spark, sf_dir))))
 
 
 GRAMS_SQL = f"""{s.clean_cte()},
@@ -65,7 +66,7 @@ SELECT root_keyword, gram, count(*) AS keywords, round(sum(w), 6) AS weight, rou
 FROM scaled GROUP BY ALL""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit-length TF-IDF of every keyword, summed up per gram."""
-    rows = features.tfidf(clean(records(spark, sf_dir)))
+    rows = features.tfidf(cut_lineage(clean(records(spark, sf_dir)).select("root_keyword", "keyword")))
     terms = rows.select("root_keyword", F.inline("terms"))
     return terms.groupBy("root_keyword", "gram").agg(
         F.count(F.lit(1)).alias("keywords"), F.round(F.sum("weight"), 6).alias("weight"),
