@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmine import rules
-from lexmine.operators import clusters, reports
+from lexmine.operators import clusters, features, reports
 from lexmine.operators.cluster_fit import fit
 from lexmine.plans.analysis import analyze, cluster
 from lexmine.plans.mining import mine
@@ -33,6 +33,15 @@ def test_planted_groups_are_recovered(spark, group_rows):
     assert {i for ids in groups.values() for i in ids} == {0, 1, 2, 3}
 
 
+def test_grams_joined_with_salt_weigh_the_same(spark, monkeypatch):
+    def weights():
+        return sorted((r.keyword, [(t.gram, round(t.weight, 9)) for t in r.terms]) for r in features.tfidf(planted(spark)).collect())
+
+    looked_up = weights()
+    monkeypatch.setattr(features, "BROADCAST_ROWS", 0)
+    assert weights() == looked_up and len(looked_up) == 160
+
+
 def test_same_seed_same_clusters_in_any_partitioning(spark):
     def ids(df):
         return sorted(map(tuple, fit(df, n_clusters=5).collect()))
