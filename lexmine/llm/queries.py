@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmine.llm import bpe
 from lexmine.llm.exact import exact_dedup
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
 
@@ -14,3 +16,13 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def ranks() -> bytes:
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read()
+
+
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN))
