@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmine.llm import bpe
 from lexmine.llm.exact import exact_dedup
+from lexmine.llm.langid import identify_documents
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
 
 
@@ -26,3 +27,8 @@ def ranks() -> bytes:
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
