@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmine.llm import bpe
 from lexmine.llm.exact import exact_dedup
 from lexmine.llm.langid import identify_documents
+from lexmine.llm.mixing import mix
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
 
 
@@ -32,3 +33,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing", r"""
+WITH docs AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    FROM documents),
+named AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no
+    FROM docs GROUP BY source),
+weighed AS (
+    SELECT *, CASE source_no % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS most FROM named),
+levels AS (
+    SELECT *, (1.5 * sum(source_size) OVER () - (sum(most) OVER upto - most))::DOUBLE / sum(weight) OVER onward AS level
+    FROM weighed
+    WINDOW upto AS (ORDER BY most::DOUBLE / weight, source_no ROWS UNBOUNDED PRECEDING),
+           onward AS (ORDER BY most::DOUBLE / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+goals AS (
+    SELECT source, source_size, CASE WHEN most::DOUBLE / weight <= level THEN most::DOUBLE
+           ELSE weight * max(CASE WHEN most::DOUBLE / weight > level THEN level END) OVER () END AS target
+    FROM levels),
+placed AS (
+    SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS quota,
+           CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+    FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       greatest(least(start + size, quota) - start, 0)
+       + greatest(least(start + size + source_size, quota) - start - source_size, 0) AS taken
+FROM placed""")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
