@@ -9,6 +9,7 @@ from lexmine.llm import bpe
 from lexmine.llm.exact import exact_dedup
 from lexmine.llm.langid import identify_documents
 from lexmine.llm.mixing import mix
+from lexmine.llm.pii import pii_digest
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
 
 
@@ -64,3 +65,8 @@ SELECT doc_id, size, source_size, target,
 FROM placed""")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
