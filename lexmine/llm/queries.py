@@ -11,6 +11,7 @@ from lexmine.llm.langid import identify_documents
 from lexmine.llm.mixing import mix
 from lexmine.llm.pii import pii_digest
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
+from lexmine.llm.secrets import secrets_digest
 
 
 @query("op4_exact_dedup", """
@@ -70,3 +71,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(table(spark, sf_dir, "documents"))
