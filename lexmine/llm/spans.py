@@ -32,9 +32,9 @@ def span_column(text: Column, make: Callable[[], Callable[[str], list[tuple[str,
     return found.asNondeterministic()(text)
 
 
-def written(spans: Column, order: Column) -> Column:
-    """kind:start:end of each span, comma-joined, in the order of the struct that `order` makes first."""
-    return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+def written(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def ordered(spans: Column, kinds: list[str], by_kind: bool) -> Column:
@@ -52,9 +52,13 @@ def digest(found: DataFrame, kinds: list[str], by_kind: bool) -> DataFrame:
     """doc_id, a count per kind, base_sha256 and spans, from doc_id and spans."""
     sort = found.select("doc_id", ordered(F.col("spans"), kinds, by_kind).alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return sort.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
-        F.sha2(written(base, base), 256).alias("base_sha256"),
-        written(F.col("spans"), F.col("spans")).alias("spans"),
+        *map(number, kinds),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
     )
