@@ -9,6 +9,7 @@ from lexmine.llm import bpe
 from lexmine.llm.exact import exact_dedup
 from lexmine.llm.langid import identify_documents
 from lexmine.llm.mixing import mix
+from lexmine.llm.neardup import near_duplicates
 from lexmine.llm.pii import pii_digest
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
 from lexmine.llm.secrets import secrets_digest
@@ -76,3 +77,26 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secrets")
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_near_dedup", r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+    FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT r.doc_id, p.b FROM reached r JOIN (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) p ON r.other = p.a)
+SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
+FROM sets s JOIN reached r ON s.doc_id = r.doc_id GROUP BY s.doc_id""")
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
