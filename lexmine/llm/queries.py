@@ -13,6 +13,7 @@ from lexmine.llm.neardup import near_duplicates
 from lexmine.llm.pii import pii_digest
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
 from lexmine.llm.secrets import secrets_digest
+from lexmine.llm.vectors import near_vectors
 
 
 @query("op4_exact_dedup", """
@@ -100,3 +101,21 @@ SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.other)
 FROM sets s JOIN reached r ON s.doc_id = r.doc_id GROUP BY s.doc_id""")
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query("op7_vector_dedup", """
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION SELECT r.vec_id, p.b FROM reached r JOIN pairs p ON r.other = p.a),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
+FROM reached r LEFT JOIN counts c ON r.vec_id = c.a GROUP BY r.vec_id""")
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
