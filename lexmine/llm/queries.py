@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmine.llm import bpe
 from lexmine.llm.exact import exact_dedup
 from lexmine.llm.langid import identify_documents
+from lexmine.llm.licenses import expected_sql, scan
 from lexmine.llm.mixing import mix
 from lexmine.llm.neardup import near_duplicates
 from lexmine.llm.pii import pii_digest
@@ -119,3 +120,8 @@ SELECT r.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.other) AS compone
 FROM reached r LEFT JOIN counts c ON r.vec_id = c.a GROUP BY r.vec_id""")
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_licenses", expected_sql())
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
