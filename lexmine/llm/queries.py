@@ -11,6 +11,7 @@ from lexmine.llm.langid import identify_documents
 from lexmine.llm.licenses import expected_sql, scan
 from lexmine.llm.mixing import mix
 from lexmine.llm.neardup import near_duplicates
+from lexmine.llm.packing import pack, summary
 from lexmine.llm.pii import pii_digest
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
 from lexmine.llm.secrets import secrets_digest
@@ -125,3 +126,8 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_licenses", expected_sql())
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(pack(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN))
