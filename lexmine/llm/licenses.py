@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmine.operators.cleaning import once
+
 WORDS = 5
 LEAST = 0.8
 # Long words that texts of any kind have; they make poor anchors.
@@ -150,25 +152,32 @@ def scan(
     """
     plan = window_plan(templates(TEMPLATES if texts is None else texts))
     table = _template_table(docs.sparkSession, plan)
-    keys = sorted({v for r in table.select("bands").collect() for v in r["bands"]})
+    listed = table.select("bands", "wanted").collect()
+    keys = sorted({v for r in listed for v in r["bands"]})
+    wanted = F.array(*map(F.lit, sorted({v for r in listed for v in r["wanted"]})))
     entries = table.select("plan_no", "template", "license", "wanted", F.explode("bands").alias("band"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
     hit = F.lit(False)
     for word in anchors([t for w in plan for t in w.templates]):
         hit = hit | F.contains(F.col("text"), F.lit(word))
-    words = F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "")
-    rows = rows.filter(hit).select("doc_id", words.alias("words")).filter(F.size("words") >= WORDS)
-    rows = rows.select("doc_id", F.transform(
-        F.sequence(F.lit(1), F.size("words") - WORDS + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, F.lit(WORDS))))).alias("shingles"))
+    rows = once(rows.filter(hit), words=F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "")).select("doc_id", "words")
+    rows = once(rows.filter(F.size("words") >= WORDS), shingles=F.transform(
+        F.sequence(F.lit(1), F.size("words") - WORDS + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, F.lit(WORDS))))))
+    # A minimum that a window shares with a template is one of the template's shingles, so others need no signature.
+    found = F.transform("shingles", lambda s, i: F.when(F.array_contains(wanted, s), i + 1))
+    rows = once(rows.select("doc_id", "shingles"), places=F.array_compact(found)).filter(F.size("places") > 0)
 
     def of_plan(values: list[int]) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), F.col("plan_no"))
 
-    cut = rows.select("doc_id", "shingles", F.posexplode(F.array(*[F.lit(w.step) for w in plan])).alias("plan_no", "step"))
+    cut = rows.select("doc_id", "shingles", "places", F.posexplode(F.array(*[F.lit(w.step) for w in plan])).alias("plan_no", "step"))
     cut = cut.withColumn("plan_no", F.col("plan_no") + 1)
-    cut = cut.select("doc_id", "plan_no", "shingles", F.explode(F.sequence(F.lit(1), F.size("shingles"), F.col("step"))).alias("word"))
-    cut = cut.select("doc_id", "plan_no", "word", F.array_distinct(
-        F.slice("shingles", F.col("word"), of_plan([w.size - WORDS + 1 for w in plan]))).alias("held"))
+    cut = cut.withColumn("span", of_plan([w.size - WORDS + 1 for w in plan]))
+    near = F.filter(
+        F.sequence(F.lit(1), F.size("shingles"), F.col("step")),
+        lambda w: F.exists("places", lambda p: (p >= w) & (p < w + F.col("span"))))
+    cut = cut.select("doc_id", "plan_no", "shingles", "span", F.explode(near).alias("word"))
+    cut = cut.select("doc_id", "plan_no", "word", F.array_distinct(F.slice("shingles", F.col("word"), F.col("span"))).alias("held"))
     found = cut.select("doc_id", "plan_no", "word", "held", F.explode(F.array_intersect(
         _signature(F.col("held"), of_plan([w.bands for w in plan])), F.array(*map(F.lit, keys)))).alias("band"))
     matches = found.join(F.broadcast(entries), ["plan_no", "band"]).select(
