@@ -1,12 +1,16 @@
 """Fit one clustering per root: TF-IDF rows -> truncated SVD -> unit length -> k-means, for all roots at once.
 
-Spark partitions the work in two ways. Roots of up to ``GROUP_ROWS`` keywords are one group each. Larger roots are
-cut into chunks of a fixed size: every step maps over the chunks and sums small partial results per root, so no
-task ever holds a whole large root. Both use the same arithmetic on dense blocks of a few hundred rows.
+A root's keywords are cut into chunks of a bounded size. The fit is a sequence of steps: every chunk answers a step
+with a small array, the answers of a root's chunks are added up (or the least is taken), and the sum moves the root's
+state on. A root of one chunk takes its steps inside one task; the steps of larger roots are Spark jobs for all of them
+together. Both run the same functions, so the clusters do not depend on the size of the chunks.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,40 +19,46 @@ from lexmine import rules
 from lexmine.operators.clusters import MIN_ROWS, ROOT, cluster_count, component_count
 from lexmine.operators.features import tfidf
 from lexmine.operators.joins import salted_join
-from lexmine.operators.reports import ranked
 from lexmine.session import cut_lineage
 
-GROUP_ROWS = 20_000  # largest root that is fitted inside one task
-CHUNK_ROWS = 50_000  # rows of a large root per task step; a copy of the root's model is small beside them
+CHUNK_ROWS = 20_000  # keywords whose sparse rows a task holds
 BLOCK_ROWS = 256  # rows turned into a dense block at a time
 OVERSAMPLE = 10
 POWER_STEPS = 4
-SAMPLE_ROWS = 5_000  # points that settle the starting centres of a large root; all points are clustered
-LARGE_ROUNDS = 12  # rounds over all points of a large root; the starts come settled, so few are needed
 TOLERANCE = 1e-4
 
 
-# ---- arithmetic on blocks of rows ---------------------------------------------------------------
+# ---- arithmetic on a chunk ----------------------------------------------------------------------
+
+def pack(frame: pd.DataFrame) -> dict:
+    """The sparse rows (idx, weight) of a chunk as flat arrays; a row may be empty."""
+    frame = frame.sort_values("keyword", ignore_index=True)
+    lengths = np.array([len(i) for i in frame["idx"]], np.int64)
+    flat = lambda name, kind: np.concatenate([np.asarray(v, kind) for v in frame[name]] + [np.zeros(0, kind)])
+    return {
+        "keywords": frame["keyword"].tolist(), "hashes": frame["hash"].to_numpy(np.int64), "lengths": lengths,
+        "idx": flat("idx", np.int64), "weight": flat("weight", np.float64),
+    }
 
-def blocks(frame: pd.DataFrame, width: int):
-    """Dense blocks of the sparse rows (idx, weight)."""
-    for start in range(0, len(frame), BLOCK_ROWS):
-        part = frame.iloc[start:start + BLOCK_ROWS]
-        lengths = [len(i) for i in part["idx"]]
-        dense = np.zeros((len(part), width))
-        dense[np.repeat(np.arange(len(part)), lengths), np.concatenate(list(part["idx"]))] = np.concatenate(
-            list(part["weight"])
-        )
+
+def blocks(chunk: dict, width: int) -> Iterator[np.ndarray]:
+    """Dense blocks of a chunk's rows."""
+    ends = np.concatenate([[0], np.cumsum(chunk["lengths"])])
+    for start in range(0, len(chunk["lengths"]), BLOCK_ROWS):
+        lengths = chunk["lengths"][start:start + BLOCK_ROWS]
+        part = slice(ends[start], ends[start + len(lengths)])
+        dense = np.zeros((len(lengths), width))
+        dense[np.repeat(np.arange(len(lengths)), lengths), chunk["idx"][part]] = chunk["weight"][part]
         yield dense
 
 
-def scores(frame: pd.DataFrame, basis: np.ndarray) -> np.ndarray:
-    return np.vstack([block @ basis for block in blocks(frame, len(basis))])
+def scores(chunk: dict, basis: np.ndarray) -> np.ndarray:
+    return np.vstack([block @ basis for block in blocks(chunk, len(basis))])
 
 
-def gram_product(frame: pd.DataFrame, basis: np.ndarray) -> np.ndarray:
+def gram_product(chunk: dict, basis: np.ndarray) -> np.ndarray:
     """X'X times the basis, for the rows given."""
-    return sum(block.T @ (block @ basis) for block in blocks(frame, len(basis)))
+    return sum(block.T @ (block @ basis) for block in blocks(chunk, len(basis)))
 
 
 def start_basis(width: int, rank: int, seed: int) -> np.ndarray:
@@ -77,202 +87,181 @@ def cluster_sums(points: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.column_stack([np.bincount(ids, weights=column, minlength=k) for column in points.T])
 
 
-def start_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: each next centre with probability proportional to its squared distance."""
-    centres = [points[rng.integers(len(points))]]
-    gap = ((points - centres[0]) ** 2).sum(1)
-    for _ in range(k - 1):
-        total = gap.sum()
-        pick = rng.integers(len(points)) if total <= 0 else rng.choice(len(points), p=gap / total)
-        centres.append(points[pick])
-        gap = np.minimum(gap, ((points - centres[-1]) ** 2).sum(1))
-    return np.array(centres)
-
-
-def lloyd(points: np.ndarray, centres: np.ndarray, iterations: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Cluster ids, total squared distance and final centres."""
-    limit = TOLERANCE * points.var(axis=0).mean()
-    ids, gap = nearest(points, centres)
-    for _ in range(iterations):
-        sizes = np.bincount(ids, minlength=len(centres))
-        moved = np.where(sizes[:, None] > 0, cluster_sums(points, ids, len(centres)) / np.maximum(sizes, 1)[:, None], centres)
-        empty = np.flatnonzero(sizes == 0)
-        moved[empty] = points[np.argsort(gap)[::-1][:len(empty)]]  # an empty cluster takes the farthest point
-        shift = ((moved - centres) ** 2).sum()
-        centres = moved
-        ids, gap = nearest(points, centres)
-        if shift <= limit:
-            break
-    return ids, float(gap.sum()), centres
-
-
-def fit_group(frame: pd.DataFrame, n_clusters: int, n_components: int, seed: int) -> np.ndarray:
-    """Cluster ids of one root that fits in a task."""
-    n = len(frame)
-    k = cluster_count(n, n_clusters)
-    if n < MIN_ROWS or k < 2:
-        return np.zeros(n, dtype=np.int32)
-    dims = component_count(n, k, n_components)
-    width = 1 + max(int(i.max()) for i in frame["idx"])
-    rank = min(dims + OVERSAMPLE, width)
-    basis = start_basis(width, rank, seed)
-    for _ in range(POWER_STEPS):
-        basis, _ = np.linalg.qr(gram_product(frame, basis))
-    projected = scores(frame, basis)
-    points = unit(projected @ rotation(projected.T @ projected, dims))
-    runs = []
-    for i in range(rules.KMEANS_STARTS):
-        centres = start_centres(points, k, np.random.default_rng(seed + i))
-        runs.append(lloyd(points, centres, rules.KMEANS_ITERATIONS))
-    return min(runs, key=lambda run: run[1])[0].astype(np.int32)
-
-
-# ---- Spark steps --------------------------------------------------------------------------------
-
-def fit_small(rows: DataFrame, n_clusters: int, n_components: int, seed: int) -> DataFrame:
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("keyword", ignore_index=True)
-        ids = fit_group(frame, n_clusters, n_components, seed)
-        return pd.DataFrame({ROOT: frame[ROOT], "keyword": frame["keyword"], "cluster_id": ids})
-
-    return rows.groupBy(ROOT).applyInPandas(fit, f"{ROOT} string, keyword string, cluster_id int")
-
-
-def _with_model(chunks: DataFrame, model: DataFrame) -> tuple:
-    """Give every chunk of a root a copy of the root's model: pairs for cogroup on (root, chunk)."""
-    last = chunks.groupBy(ROOT).agg(F.max("chunk").alias("_last"))
-    copies = salted_join(model, last, [ROOT], "idx").select(
-        ROOT, "idx", "row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("chunk")
-    )
-    return chunks.groupBy(ROOT, "chunk"), copies.groupBy(ROOT, "chunk")
-
-
-def _basis(model: pd.DataFrame) -> np.ndarray:
-    """Model rows (idx, row of the basis) as a matrix; rows not listed are zero."""
-    out = np.zeros((rules.MAX_FEATURES, len(model["row"].iloc[0])))
-    out[model["idx"].to_numpy()] = np.vstack(model["row"])
-    return out[: int(model["idx"].max()) + 1]
+def races(hashes: np.ndarray, start: int, step: int, seed: int) -> np.ndarray:
+    """An exponential variate for every keyword, the same wherever it is computed."""
+    with np.errstate(over="ignore"):
+        mixed = hashes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(1 + step + 1000 * (start + 100 * seed))
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+    return -np.log((mixed.astype(np.float64) + 0.5) / 2.0**64)
 
 
-def _summed(partial: DataFrame, size: int) -> DataFrame:
-    """Add up arrays of equal size per (root, idx), combining map-side."""
-    sums = [F.sum(F.col("row")[i]).alias(f"c{i}") for i in range(size)]
-    added = partial.groupBy(ROOT, "idx").agg(*sums)
-    return added.select(ROOT, "idx", F.array(*[F.col(f"c{i}") for i in range(size)]).alias("row"))
+# ---- the steps of one root ----------------------------------------------------------------------
 
-
-_NOTHING = np.zeros((0, 0))  # a chunk number that no row hashed to
-_ROWS = f"{ROOT} string, idx int, row array<double>"
-
-
-def _as_rows(root: str, matrix: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({ROOT: root, "idx": np.arange(len(matrix), dtype=np.int32), "row": list(matrix)})
-
-
-def project_large(chunks: DataFrame, dims: int, seed: int) -> DataFrame:
-    """Unit-length SVD scores of the large roots: (root, keyword, chunk, point)."""
+def begin(n: int, width: int, n_clusters: int, n_components: int, seed: int) -> dict:
+    k = cluster_count(n, n_clusters)
+    dims = component_count(n, k, n_components)
     rank = dims + OVERSAMPLE
-
-    def first_product(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        width = 1 + max(int(i.max()) for i in frame["idx"])
-        return _as_rows(key[0], gram_product(frame, start_basis(rules.MAX_FEATURES, rank, seed)[:width]))
-
-    def next_product(key: tuple, frame: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        return _as_rows(key[0], gram_product(frame, _basis(model))) if len(frame) else _as_rows(key[0], _NOTHING)
-
-    def inner_product(key: tuple, frame: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if frame.empty:
-            return _as_rows(key[0], _NOTHING)
-        projected = scores(frame, _basis(model))
-        return _as_rows(key[0], projected.T @ projected)
-
-    def orthonormal(frame: pd.DataFrame) -> pd.DataFrame:
-        # At most MAX_FEATURES rows per root.
-        frame = frame.sort_values("idx", ignore_index=True)
-        q, _ = np.linalg.qr(np.vstack(frame["row"]))
-        return pd.DataFrame({ROOT: frame[ROOT], "idx": frame["idx"], "row": list(q)})
-
-    def rotated(key: tuple, model: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
-        turn = rotation(np.vstack(inner.sort_values("idx")["row"]), dims)
-        return pd.DataFrame({ROOT: model[ROOT], "idx": model["idx"], "row": list(np.vstack(model["row"]) @ turn)})
-
-    def points(key: tuple, frame: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        made = unit(scores(frame, _basis(model))) if len(frame) else _NOTHING
-        return pd.DataFrame({ROOT: frame[ROOT], "keyword": frame["keyword"], "chunk": frame["chunk"], "point": list(made)})
-
-    product = chunks.groupBy(ROOT, "chunk").applyInPandas(first_product, _ROWS)
-    for step in range(POWER_STEPS):
-        summed = _summed(product, rank)
-        model = cut_lineage(summed.groupBy(ROOT).applyInPandas(orthonormal, _ROWS))
-        left, right = _with_model(chunks, model)
-        if step < POWER_STEPS - 1:
-            product = left.cogroup(right).applyInPandas(next_product, _ROWS)
-    inner = _summed(left.cogroup(right).applyInPandas(inner_product, _ROWS), rank)
-    turned = model.groupBy(ROOT).cogroup(inner.groupBy(ROOT)).applyInPandas(rotated, _ROWS)
-    left, right = _with_model(chunks, cut_lineage(turned))
-    return left.cogroup(right).applyInPandas(points, f"{ROOT} string, keyword string, chunk bigint, point array<double>")
-
-
-def kmeans_large(points: DataFrame, k: int, dims: int, seed: int) -> DataFrame:
-    """k-means of all large roots and all starts together; only one number per round reaches the driver."""
-    starts = rules.KMEANS_STARTS
-
-    def begin(frame: pd.DataFrame) -> pd.DataFrame:
-        sample = np.vstack(frame.sort_values("keyword")["point"])
-        made = [
-            lloyd(sample, start_centres(sample, k, np.random.default_rng(seed + i)), rules.KMEANS_ITERATIONS)[2]
-            for i in range(starts)
-        ]
-        return _as_rows(frame[ROOT].iloc[0], np.vstack(made))
-
-    def partial(key: tuple, frame: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        """Per start and cluster: sum of points, count, and squared distances."""
-        if frame.empty:
-            return _as_rows(key[0], _NOTHING)
-        rows, centres = np.vstack(frame["point"]), np.vstack(model.sort_values("idx")["row"])
-        out = np.zeros((starts * k, dims + 2))
-        for i in range(starts):
-            ids, gap = nearest(rows, centres[i * k:(i + 1) * k])
-            here = slice(i * k, (i + 1) * k)
-            out[here, :dims] = cluster_sums(rows, ids, k)
-            out[here, dims] = np.bincount(ids, minlength=k)
-            out[here, dims + 1] = np.bincount(ids, weights=gap, minlength=k)
-        return _as_rows(key[0], out)
-
-    def moved(key: tuple, model: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        """New centres with how far each start moved and its total distance before the move."""
-        centres = np.vstack(model.sort_values("idx")["row"])
-        added = np.vstack(sums.sort_values("idx")["row"])
-        sizes = added[:, dims:dims + 1]
-        new = np.where(sizes > 0, added[:, :dims] / np.maximum(sizes, 1), centres)
-        shift = ((new - centres) ** 2).sum(1).reshape(starts, k).sum(1)
-        cost = added[:, dims + 1].reshape(starts, k).sum(1)
-        out = _as_rows(key[0], new)
-        out["shift"], out["cost"] = np.repeat(shift, k), np.repeat(cost, k)
+    return {
+        "step": "product", "turn": 0, "k": k, "dims": dims, "seed": seed, "basis": start_basis(width, rank, seed),
+        "centres": np.zeros((rules.KMEANS_STARTS, 0, dims)), "moving": np.ones(rules.KMEANS_STARTS, bool),
+    }
+
+
+def project(chunk: dict, state: dict) -> dict:
+    """A chunk with the points of its rows in place of the rows."""
+    points = unit(scores(chunk, state["basis"]))
+    return {"keywords": chunk["keywords"], "hashes": chunk["hashes"], "points": points}
+
+
+def answer(chunk: dict, state: dict) -> np.ndarray:
+    """What a chunk adds to the root's next step."""
+    step, centres = state["step"], state["centres"]
+    if step == "product":
+        return gram_product(chunk, state["basis"])
+    if step == "inner":
+        projected = scores(chunk, state["basis"])
+        return projected.T @ projected
+    points, k, dims = chunk["points"], state["k"], state["dims"]
+    if step == "spread":
+        return np.vstack([points.sum(0), (points**2).sum(0), np.full(dims, len(points))])
+    if step == "start":  # k-means++ as a race: the next centre is the point that arrives first at a pace of its squared distance
+        out = np.zeros((len(centres), dims + 1))
+        for i, chosen in enumerate(centres):
+            gap = nearest(points, chosen)[1] if len(chosen) else np.ones(len(points))
+            arrival = races(chunk["hashes"], i, len(chosen), state["seed"]) / np.maximum(gap, 1e-200)
+            out[i, 0], out[i, 1:] = arrival.min(), points[arrival.argmin()]
         return out
+    out = np.zeros((len(centres), k, dims + 2))
+    for i in np.flatnonzero(state["moving"]):
+        ids, gap = nearest(points, centres[i])
+        out[i, :, :dims] = cluster_sums(points, ids, k)
+        out[i, :, dims], out[i, :, dims + 1] = np.bincount(ids, minlength=k), np.bincount(ids, weights=gap, minlength=k)
+    return out
+
+
+def together(step: str, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.where(one[:, :1] <= two[:, :1], one, two) if step == "start" else one + two
+
+
+def advance(state: dict, total: np.ndarray) -> dict:
+    """The state after a step, given the answers of all chunks."""
+    state = dict(state)
+    step, dims = state["step"], state["dims"]
+    if step == "product":
+        basis, _ = np.linalg.qr(total)
+        state["basis"] = np.pad(basis, ((0, 0), (0, total.shape[1] - basis.shape[1])))
+        state["turn"] += 1
+        state["step"] = "inner" if state["turn"] == POWER_STEPS else "product"
+    elif step == "inner":
+        state["basis"], state["step"] = state["basis"] @ rotation(total, dims), "spread"
+    elif step == "spread":
+        n = total[2, 0]
+        state["limit"], state["step"] = TOLERANCE * float((total[1] / n - (total[0] / n) ** 2).mean()), "start"
+        state["basis"], state["turn"] = state["basis"][:0], 0
+    elif step == "start":
+        state["centres"] = np.concatenate([state["centres"], total[:, None, 1:]], 1)
+        state["step"] = "move" if state["centres"].shape[1] == state["k"] else "start"
+    elif step == "move":
+        sizes = total[:, :, dims:dims + 1]
+        moved = np.where(sizes > 0, total[:, :, :dims] / np.maximum(sizes, 1), state["centres"])
+        shift = ((moved - state["centres"]) ** 2).sum((1, 2))
+        state["centres"], state["moving"] = moved, state["moving"] & (shift > state["limit"])
+        state["turn"] += 1
+        if not state["moving"].any() or state["turn"] == rules.KMEANS_ITERATIONS:
+            state["step"], state["moving"] = "cost", np.ones_like(state["moving"])
+    else:
+        best = int(total[:, :, dims + 1].sum(1).argmin())
+        state["centres"], state["step"] = state["centres"][best:best + 1], "done"
+    return state
+
+
+def assigned(chunk: dict, state: dict) -> np.ndarray:
+    return nearest(chunk["points"], state["centres"][0])[0].astype(np.int32)
+
+
+def fit_chunk(chunk: dict, n_clusters: int, n_components: int, seed: int) -> np.ndarray:
+    """Cluster ids of a root of one chunk."""
+    n = len(chunk["keywords"])
+    if n < MIN_ROWS or cluster_count(n, n_clusters) < 2:
+        return np.zeros(n, np.int32)
+    state = begin(n, 1 + max(chunk["idx"], default=0), n_clusters, n_components, seed)
+    while state["step"] != "done":
+        if state["step"] == "spread":
+            chunk = project(chunk, state)
+        state = advance(state, answer(chunk, state))
+    return assigned(chunk, state)
+
+
+# ---- Spark steps --------------------------------------------------------------------------------
 
-    def assign(key: tuple, frame: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        ids = np.zeros(0)
-        if len(frame):
-            ids, _ = nearest(np.vstack(frame["point"]), np.vstack(model.sort_values("idx")["row"]))
-        return pd.DataFrame({ROOT: frame[ROOT], "keyword": frame["keyword"], "cluster_id": ids.astype(np.int32)})
-
-    # The sample is the points with the lowest hash; tasks keep no more than that each.
-    sample = ranked(points.select(ROOT, "keyword", "point"), [ROOT], [F.xxhash64("keyword"), F.col("keyword")], SAMPLE_ROWS)
-    model = cut_lineage(sample.groupBy(ROOT).applyInPandas(begin, _ROWS))
-    for _ in range(LARGE_ROUNDS):
-        left, right = _with_model(points, model)
-        sums = _summed(left.cogroup(right).applyInPandas(partial, _ROWS), dims + 2)
-        stepped = model.select(ROOT, "idx", "row").groupBy(ROOT).cogroup(sums.groupBy(ROOT))
-        model = cut_lineage(stepped.applyInPandas(moved, f"{_ROWS}, shift double, cost double"))
-        # Points have length 1, so the mean variance per dimension is at most 1 / dims.
-        if model.agg(F.max("shift")).first()[0] <= TOLERANCE / dims:
-            break
-    start = F.floor(F.col("idx") / k)
-    best = model.groupBy(ROOT).agg(F.min_by(start, F.struct("cost", start)).alias("_best"))
-    chosen = model.join(best, ROOT).where(start == F.col("_best")).select(ROOT, "idx", "row")
-    left, right = _with_model(points, chosen)
-    return left.cogroup(right).applyInPandas(assign, f"{ROOT} string, keyword string, cluster_id int")
+_IDS = f"{ROOT} string, keyword string, cluster_id int"
+
+
+def fit_large(rows: DataFrame, n_clusters: int, n_components: int, seed: int) -> DataFrame:
+    """The steps of all roots of several chunks, one Spark job a step; a number a step reaches the driver."""
+
+    def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        width = 1 + max((int(max(i)) for i in frame["idx"] if len(i)), default=0)
+        return pd.DataFrame({ROOT: [key[0]], "rows": [int(frame["rows"].iloc[0])], "width": [width], "chunk": [pickle.dumps(pack(frame))]})
+
+    def begun(frame: pd.DataFrame) -> pd.DataFrame:
+        states = [pickle.dumps(begin(int(n), int(w), n_clusters, n_components, seed)) for n, w in zip(frame["rows"], frame["width"])]
+        return pd.DataFrame({ROOT: list(frame[ROOT]), "state": states, "done": [False] * len(states)})
+
+    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [(pickle.loads(c), pickle.loads(s)) for c, s in zip(batch["chunk"], batch["state"])]
+            got = [pickle.dumps((s["step"], answer(c, s))) for c, s in pairs]
+            yield pd.DataFrame({ROOT: list(batch[ROOT]), "part": list(batch["part"]), "answer": got})
+
+    def added(items: list[bytes]) -> bytes:
+        step, total = pickle.loads(items[0])
+        for item in items[1:]:
+            total = together(step, total, pickle.loads(item)[1])
+        return pickle.dumps((step, total))
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        """Chunks of a root are summed in parts first, so no task meets the answers of all of them."""
+        return pd.DataFrame({ROOT: [frame[ROOT].iloc[0]], "answer": [added(list(frame["answer"]))]})
+
+    def moved(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        now = advance(pickle.loads(state["state"].iloc[0]), pickle.loads(added(list(frame["answer"])))[1])
+        return pd.DataFrame({ROOT: [frame[ROOT].iloc[0]], "state": [pickle.dumps(now)], "done": [now["step"] == "done"]})
+
+    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [pickle.dumps(project(pickle.loads(c), pickle.loads(s))) for c, s in zip(batch["chunk"], batch["state"])]
+            yield pd.DataFrame({ROOT: list(batch[ROOT]), "part": list(batch["part"]), "chunk": got})
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for root, chunk, state in zip(batch[ROOT], batch["chunk"], batch["state"]):
+                chunk = pickle.loads(chunk)
+                ids = assigned(chunk, pickle.loads(state))
+                yield pd.DataFrame({ROOT: [root] * len(ids), "keyword": chunk["keywords"], "cluster_id": ids})
+
+    chunks = rows.groupBy(ROOT, "chunk_no").applyInPandas(packed, f"{ROOT} string, rows long, width int, chunk binary")
+    parts = F.pmod(F.xxhash64("chunk"), F.lit(PARTS)).cast("int")
+    chunks = cut_lineage(chunks.withColumn("part", parts))
+    states = chunks.groupBy(ROOT).agg(F.max("rows").alias("rows"), F.max("width").alias("width"))
+    states = cut_lineage(states.mapInPandas(lambda frames: map(begun, frames), f"{ROOT} string, state binary, done boolean"))
+    answers = f"{ROOT} string, part int, answer binary"
+    turn = 0
+    while not states.where("not done").isEmpty():
+        if turn == POWER_STEPS + 1:  # all roots have their directions now
+            chunks = cut_lineage(chunks.join(states, ROOT).mapInPandas(projected, f"{ROOT} string, part int, chunk binary"))
+        live = states.where("not done")
+        got = chunks.select(ROOT, "part", "chunk").join(live, ROOT).mapInPandas(answered, answers)
+        summed = got.groupBy(ROOT, "part").applyInPandas(joined, f"{ROOT} string, answer binary")
+        stepped = summed.groupBy(ROOT).cogroup(live.groupBy(ROOT)).applyInPandas(moved, f"{ROOT} string, state binary, done boolean")
+        states = cut_lineage(stepped.unionByName(states.where("done")))
+        turn += 1
+    return chunks.join(states, ROOT).mapInPandas(told, _IDS)
+
+
+PARTS = 32  # partial sums of a root's answers
 
 
 def fit(
@@ -280,23 +269,28 @@ def fit(
     n_clusters: int = rules.N_CLUSTERS,
     n_components: int = rules.N_COMPONENTS,
     seed: int = rules.SEED,
-    group_rows: int = GROUP_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Cluster id of every keyword: (root_keyword, keyword, cluster_id). Keywords are unique inside a root."""
-    terms = tfidf(df.select(ROOT, "keyword")).select(
-        ROOT, "keyword", F.col("terms.idx").alias("idx"), F.col("terms.weight").alias("weight")
+    """Cluster id of every keyword: (root_keyword, keyword, cluster_id). Keywords are unique inside a root.
+
+    Every keyword has a row, also one of whose grams the vocabulary has none. ``chunk_rows`` changes how the work is
+    dealt, not the clusters.
+    """
+    terms = tfidf(df.select(ROOT, "keyword"), grams=False).select(
+        ROOT, "keyword", F.col("terms.idx").alias("idx"), F.col("terms.weight").alias("weight"), F.xxhash64("keyword").alias("hash")
     )
     sizes = df.groupBy(ROOT).agg(F.count(F.lit(1)).alias("rows"))
-    rows = salted_join(terms, sizes, [ROOT], "keyword")
-    if sizes.where(F.col("rows") > group_rows).isEmpty():
-        return fit_small(rows.drop("rows"), n_clusters, n_components, seed)
+    rows = salted_join(terms, sizes, [ROOT], "keyword").withColumn(
+        "chunk_no", F.pmod("hash", F.ceil(F.col("rows") / chunk_rows)))
+
+    def alone(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        chunk = pack(frame)
+        ids = fit_chunk(chunk, n_clusters, n_components, seed)
+        return pd.DataFrame({ROOT: [key[0]] * len(ids), "keyword": chunk["keywords"], "cluster_id": ids})
+
+    if sizes.where(F.col("rows") > chunk_rows).isEmpty():
+        return rows.groupBy(ROOT).applyInPandas(alone, _IDS)
     rows = cut_lineage(rows)
-    small = fit_small(rows.where(F.col("rows") <= group_rows).drop("rows"), n_clusters, n_components, seed)
-    chunk = F.pmod(F.xxhash64("keyword"), F.ceil(F.col("rows") / chunk_rows))
-    chunks = rows.where(F.col("rows") > group_rows).withColumn("chunk", chunk).drop("rows")
-    # A large root has more rows than clusters, so the limits depend on the settings alone.
-    k = cluster_count(group_rows + 1, n_clusters)
-    dims = component_count(group_rows + 1, k, n_components)
-    points = cut_lineage(project_large(chunks, dims, seed))
-    return small.unionByName(kmeans_large(points, k, dims, seed))
+    one = F.col("rows") <= chunk_rows
+    return rows.where(one).groupBy(ROOT).applyInPandas(alone, _IDS).unionByName(
+        fit_large(rows.where(~one), n_clusters, n_components, seed))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine import rules
-from lexmine.operators.joins import salted_join
 from lexmine.operators.reports import ranked
 from lexmine.session import cut_lineage
 
 ROOT = "root_keyword"
-BROADCAST_ROWS = 1_000_000  # vocabulary rows, about 60 bytes each, that are sent to every task
+ROWS_PER_TASK = 10_000  # keywords whose grams one task counts
 
 
 def char_ngrams(keyword: Column) -> Column:
@@ -25,7 +24,8 @@ def char_ngrams(keyword: Column) -> Column:
 
 
 def gram_counts(df: DataFrame, scope: str = ROOT) -> DataFrame:
-    grams = df.select(scope, "keyword", F.explode(char_ngrams(F.col("keyword"))).alias("gram"))
+    """Grams of each keyword; one without grams keeps a row whose gram is null."""
+    grams = df.select(scope, "keyword", F.explode_outer(char_ngrams(F.col("keyword"))).alias("gram"))
     return grams.groupBy(scope, "keyword", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -35,32 +35,34 @@ def vocabulary(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_F
     A scope's grams are cut to ``max_features`` in each of their splits before they meet.
     """
     n = df.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"))
-    found = gram_counts(df, scope).groupBy(scope, "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
+    found = gram_counts(df, scope).where(F.col("gram").isNotNull()).groupBy(scope, "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
     top = ranked(found, [scope], [F.desc("_total"), F.col("gram")], max_features, "gram")
     idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return top.join(n, scope).select(scope, "gram", (F.col("rank") - 1).alias("idx"), idf.alias("idf"))
 
 
-def tfidf(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_FEATURES) -> DataFrame:
+def tfidf(df: DataFrame, scope: str = ROOT, max_features: int = rules.MAX_FEATURES, grams: bool = True) -> DataFrame:
     """One row per keyword with its grams as an array of (gram, idx, weight); weights have length 1.
 
-    Only the narrow keywords are shuffled, once: their grams stay with them. The vocabulary is built first and
-    counted. Up to ``BROADCAST_ROWS`` it is broadcast and the grams are looked up in place; beyond that they are
-    joined by gram, salted because a common gram of a large scope occurs in most of its keywords.
+    A keyword of which no gram is in the vocabulary keeps its row, with an empty array. Only the narrow keywords are
+    shuffled before they grow into grams; the vocabulary, built first, is joined as its measured size allows, and
+    skewed grams are split. ``grams=False`` leaves the gram text out of the arrays.
     """
-    # A fixed number: each keyword grows into about a hundred grams, which adaptive coalescing cannot foresee.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keywords = df.select(scope, "keyword").repartition(tasks, scope, "keyword")
-    terms, vocab = gram_counts(keywords, scope), cut_lineage(vocabulary(keywords, scope, max_features))
-    if vocab.count() <= BROADCAST_ROWS:
-        terms = terms.join(F.broadcast(vocab), [scope, "gram"])
-    else:
-        terms = salted_join(terms, vocab, [scope, "gram"], "keyword", salts=8)
+    keywords = df.select(scope, "keyword")
+    # A keyword grows into about a hundred grams, which adaptive coalescing cannot foresee: tasks follow the rows.
+    tasks = max(keywords.sparkSession.sparkContext.defaultParallelism, -(-keywords.count() // ROWS_PER_TASK))
+    keywords = keywords.repartition(tasks, scope, "keyword")
+    vocab = cut_lineage(vocabulary(keywords, scope, max_features))
+    terms = gram_counts(keywords, scope).join(vocab, [scope, "gram"], "left")
     weight = (F.lit(1.0) + F.log("tf")) * F.col("idf")
     weighted = terms.select(scope, "keyword", "gram", "idx", weight.alias("w"))
+    parts = ["idx", "gram", "w"] if grams else ["idx", "w"]
     rows = weighted.groupBy(scope, "keyword").agg(
-        F.sort_array(F.collect_list(F.struct("idx", "gram", "w"))).alias("terms"),
+        F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct(*parts)))).alias("terms"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
     )
-    scaled = F.transform("terms", lambda t: F.struct(t["gram"], t["idx"], (t["w"] / F.col("_norm")).alias("weight")))
-    return rows.select(scope, "keyword", scaled.alias("terms"))
+
+    def scaled(t: Column) -> Column:
+        return F.struct(*([t["gram"]] if grams else []), t["idx"], (t["w"] / F.col("_norm")).alias("weight"))
+
+    return rows.select(scope, "keyword", F.transform("terms", scaled).alias("terms"))

@@ -22,24 +22,23 @@ def planted(spark):
     return keyword_frame(spark, words)
 
 
-@pytest.mark.parametrize("group_rows", [1000, 50])
-def test_planted_groups_are_recovered(spark, group_rows):
-    """Roots that fit a task and roots cut into chunks give the same groups."""
-    found = fit(planted(spark), n_clusters=4, group_rows=group_rows, chunk_rows=40).collect()
+def test_planted_groups_are_recovered_with_any_chunks(spark):
+    """A root of one chunk and a root of several give the same clusters, not only the same groups."""
+    whole = sorted(map(tuple, fit(planted(spark), n_clusters=4).collect()))
     groups = {}
-    for r in found:
-        groups.setdefault(r.keyword.split()[0], set()).add(r.cluster_id)
-    assert len(found) == 160 and all(len(ids) == 1 for ids in groups.values())
+    for _, keyword, cluster_id in whole:
+        groups.setdefault(keyword.split()[0], set()).add(cluster_id)
+    assert len(whole) == 160 and all(len(ids) == 1 for ids in groups.values())
     assert {i for ids in groups.values() for i in ids} == {0, 1, 2, 3}
+    assert sorted(map(tuple, fit(planted(spark), n_clusters=4, chunk_rows=60).collect())) == whole
 
 
-def test_grams_joined_with_salt_weigh_the_same(spark, monkeypatch):
-    def weights():
-        return sorted((r.keyword, [(t.gram, round(t.weight, 9)) for t in r.terms]) for r in features.tfidf(planted(spark)).collect())
-
-    looked_up = weights()
-    monkeypatch.setattr(features, "BROADCAST_ROWS", 0)
-    assert weights() == looked_up and len(looked_up) == 160
+def test_no_keyword_is_lost_to_the_vocabulary(spark, monkeypatch):
+    rows = features.tfidf(planted(spark), max_features=3).collect()
+    assert len(rows) == 160 and any(not r.terms for r in rows) and all(len(r.terms) <= 3 for r in rows)
+    monkeypatch.setattr(features.tfidf, "__defaults__", (*features.tfidf.__defaults__[:1], 3, *features.tfidf.__defaults__[2:]))
+    assert fit(planted(spark), n_clusters=4).count() == 160
+    assert cluster(analyze(planted(spark)), n_clusters=4).count() == analyze(planted(spark)).count()
 
 
 def test_same_seed_same_clusters_in_any_partitioning(spark):

@@ -49,7 +49,7 @@ tf AS (SELECT root_keyword, keyword, gram, count(*) AS tf FROM grams GROUP BY AL
 @query("char_ngrams", f"WITH {GRAMS_SQL} SELECT root_keyword, gram, sum(tf)::BIGINT AS n, count(*) AS keywords FROM tf GROUP BY ALL")
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each gram in each root's keywords."""
-    counts = features.gram_counts(clean(records(spark, sf_dir)))
+    counts = features.gram_counts(clean(records(spark, sf_dir))).where(F.col("gram").isNotNull())
     return counts.groupBy("root_keyword", "gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("keywords"))
 
 
