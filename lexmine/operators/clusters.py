@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine import rules
 from lexmine.functions.text import word_count
-from lexmine.operators.joins import salted_join
+from lexmine.operators.joins import salted_filter, salted_join
 from lexmine.operators.reports import ranked
 
 ROOT = "root_keyword"
@@ -30,8 +30,8 @@ def is_small(rows: Column) -> Column:
 def small_clusters(df: DataFrame) -> DataFrame:
     """Keywords of roots below the minimum: one cluster with a fixed label."""
     sizes = df.groupBy(ROOT).agg(F.count(F.lit(1)).alias("_n")).where(is_small(F.col("_n"))).select(ROOT)
-    # Small roots have at most two rows each, so this join cannot be skewed on the kept side.
-    return df.join(sizes, ROOT, "left_semi").select(
+    # The dropped side can hold a root with most rows, so its keys are split too.
+    return salted_filter(df, sizes, [ROOT], "keyword").select(
         *df.columns, F.lit(0).alias("cluster_id"), F.lit(SMALL_LABEL).alias("cluster_label")
     )
 

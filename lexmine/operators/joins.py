@@ -16,3 +16,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: str
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def salted_filter(left: DataFrame, keys: DataFrame, on: list[str], spread_by: str, present: bool = True, salts: int = SALTS) -> DataFrame:
+    """Rows of ``left`` whose key is, or with ``present=False`` is not, among ``keys``; keys are split as above."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    copies = keys.select(*on).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(copies, [*on, "_salt"], "left_semi" if present else "left_anti").select(*left.columns)

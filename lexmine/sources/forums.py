@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexmine.operators.joins import salted_filter
 from lexmine import rules
 from lexmine.functions.text import strip
 from lexmine.sources.gate import emit, row
@@ -49,13 +50,11 @@ def reddit_posts(resolved: DataFrame, strict: bool = True) -> DataFrame:
 
 def subreddit_posts(resolved: DataFrame) -> DataFrame:
     """Post titles of each subreddit search, where the search over everything was answered."""
-    pages = endpoint_rows(resolved, "forum", "subreddit").join(
-        endpoint_rows(resolved, "forum", "reddit").select("root_keyword"), "root_keyword", "left_semi"
-    ).select(*resolved.columns)
     subreddit = F.regexp_extract("url", r"/r/([^/]+)/", 1)
     tag = F.concat(F.lit("reddit_"), subreddit)
     titles = F.transform(_posts(F.col("body")), lambda p: F.coalesce(p["title"], F.lit("")))
-    return emit(pages, F.transform(F.filter(titles, lambda t: t != ""), lambda t: row(t, tag, t)))
+    found = emit(endpoint_rows(resolved, "forum", "subreddit"), F.transform(F.filter(titles, lambda t: t != ""), lambda t: row(t, tag, t)))
+    return salted_filter(found, endpoint_rows(resolved, "forum", "reddit"), ["root_keyword"], "keyword")
 
 
 def quora_questions(resolved: DataFrame) -> DataFrame:

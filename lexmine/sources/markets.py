@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine import rules
+from lexmine.operators.joins import salted_filter
 from lexmine.sources.dom import either, is_a, select, texts, within
 from lexmine.sources.gate import emit, row
-from lexmine.sources.responses import endpoint_rows, fallback_merge
+from lexmine.sources.responses import endpoint_rows, used_fallback
 from lexmine.sources.results import with_elements
 from lexmine.sources.suggest import _kind
 
@@ -60,30 +61,29 @@ def alibaba_titles(resolved: DataFrame) -> DataFrame:
 
 def alibaba_fallback_titles(resolved: DataFrame) -> DataFrame:
     """Titles of the products page, where the suggestion payload did not parse."""
-    chosen = fallback_merge(resolved, "alibaba", "suggest", "products", when_missing=False)
-    pages = with_elements(chosen.where(F.col("endpoint") == "products"), GALLERY, CARD)
+    pages = with_elements(endpoint_rows(resolved, "alibaba", "products"), GALLERY, CARD)
     found = F.filter(texts(select(F.col("els"), either(GALLERY, CARD))), lambda t: t != "")
-    return emit(pages, F.transform(found, lambda t: row(t, "alibaba_title_html")))
+    records = emit(pages, F.transform(found, lambda t: row(t, "alibaba_title_html")))
+    return used_fallback(records, resolved, "alibaba", "suggest", when_missing=False)
 
 
 def madeinchina_titles(resolved: DataFrame) -> DataFrame:
     """Titles of both pages, and related and category links of the first. The second counts only with the first."""
-    page1 = endpoint_rows(resolved, "madeinchina", "search")
-    page2 = endpoint_rows(resolved, "madeinchina", "search_page2").join(
-        page1.select("root_keyword"), "root_keyword", "left_semi"
-    ).select(*resolved.columns)
     tests = (PRODUCT_H2, PRODUCT_BOX, PRODUCT_SPAN, PRODUCT_LINK, RELATED_BOX, CATEGORY_BOX, is_a("a"))
-    pages = with_elements(page1.unionByName(page2), *tests)
     els, link = F.col("els"), is_a("a")
     places = [PRODUCT_H2, within(els, PRODUCT_BOX, link), PRODUCT_SPAN, PRODUCT_LINK]
     found = F.concat(*[longer(select(els, place), 5) for place in places])
-    first_page = F.col("endpoint") == "search"
-    url = F.when(first_page, F.col("url")).otherwise("")
     related = F.filter(texts(select(els, within(els, RELATED_BOX, link))), lambda t: t != "")
     category = longer(select(els, within(els, CATEGORY_BOX, link)), 3)
-    titles = F.transform(found, lambda t: row(t, "madeinchina_product_title", url=url))
     links = F.concat(
         F.transform(related, lambda t: row(t, "madeinchina_related")),
         F.transform(category, lambda t: row(t, "madeinchina_category")),
     )
-    return emit(pages, F.when(first_page, F.concat(titles, links)).otherwise(titles))
+
+    def titles(url: Column | None) -> Column:
+        return F.transform(found, lambda t: row(t, "madeinchina_product_title", url=url))
+
+    page1, page2 = (endpoint_rows(resolved, "madeinchina", e) for e in ("search", "search_page2"))
+    second = emit(with_elements(page2, *tests), titles(None))
+    return emit(with_elements(page1, *tests), F.concat(titles(F.col("url")), links)).unionByName(
+        salted_filter(second, page1, ["root_keyword"], "keyword"))

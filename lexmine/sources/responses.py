@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexmine.operators.joins import salted_filter
+
 from lexmine import rules
 
 
@@ -44,17 +46,30 @@ def endpoint_rows(responses: DataFrame, channel: str, *endpoints: str) -> DataFr
     return responses.where((F.col("channel") == channel) & F.col("endpoint").isin(*endpoints))
 
 
+def fallback_roots(resolved: DataFrame, channel: str, primary: str, when_missing: bool) -> tuple[DataFrame, bool]:
+    """Roots that decide on a fallback, and whether it is used for them or for all others.
+
+    ``when_missing`` also falls back where there was no primary answer at all.
+    """
+    main, good = endpoint_rows(resolved, channel, primary), is_json_object(F.col("body"))
+    return main.where(good if when_missing else ~good).select("root_keyword"), not when_missing
+
+
 def fallback_merge(resolved: DataFrame, channel: str, primary: str, fallback: str, when_missing: bool) -> DataFrame:
     """Good primary answers, plus fallback answers of roots whose primary did not parse.
 
-    ``when_missing`` also falls back where there was no primary answer at all. Each root has one primary, so the
-    join keys are unique on that side.
+    Extractors filter their narrow records by ``fallback_roots`` instead, so that no bodies are shuffled.
     """
-    main = endpoint_rows(resolved, channel, primary)
-    spare = endpoint_rows(resolved, channel, fallback)
-    good = is_json_object(F.col("body"))
-    if when_missing:
-        used = spare.join(main.where(good).select("root_keyword"), "root_keyword", "left_anti")
-    else:
-        used = spare.join(main.where(~good).select("root_keyword"), "root_keyword", "left_semi")
-    return main.where(good).unionByName(used.select(*main.columns))
+    main, spare = endpoint_rows(resolved, channel, primary), endpoint_rows(resolved, channel, fallback)
+    used = salted_filter(spare, *_split(fallback_roots(resolved, channel, primary, when_missing), "body"))
+    return main.where(is_json_object(F.col("body"))).unionByName(used.select(*main.columns))
+
+
+def used_fallback(records: DataFrame, resolved: DataFrame, channel: str, primary: str, when_missing: bool) -> DataFrame:
+    """Records of a fallback endpoint, kept for the roots that fall back."""
+    return salted_filter(records, *_split(fallback_roots(resolved, channel, primary, when_missing), "keyword"))
+
+
+def _split(found: tuple[DataFrame, bool], spread_by: str) -> tuple:
+    roots, present = found
+    return roots, ["root_keyword"], spread_by, present

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexmine import rules
 from lexmine.functions.text import quote_plus
 from lexmine.sources.gate import emit, row
-from lexmine.sources.responses import endpoint_rows, fallback_merge
+from lexmine.sources.responses import endpoint_rows, is_json_object, used_fallback
 
 
 def _kind(value: Column) -> Column:
@@ -96,12 +96,11 @@ def youtube_suggestions(resolved: DataFrame) -> DataFrame:
 def amazon_suggestions(resolved: DataFrame) -> DataFrame:
     """The legacy endpoint stands in where the primary did not answer or did not parse."""
     body = F.col("body")
-    chosen = fallback_merge(resolved, "amazon", "suggest", "suggest_legacy", when_missing=True)
-    texts = F.when(F.col("endpoint") == "suggest", object_texts(body)).otherwise(array_texts(body))
-    more = endpoint_rows(resolved, "amazon", "suggest_ext")
-    return emit(chosen, _rows(texts, "amazon_suggest")).unionByName(
-        emit(more, _rows(object_texts(body), "amazon_suggest_ext"))
-    )
+    main = emit(endpoint_rows(resolved, "amazon", "suggest").where(is_json_object(body)), _rows(object_texts(body), "amazon_suggest"))
+    spare = emit(endpoint_rows(resolved, "amazon", "suggest_legacy"), _rows(array_texts(body), "amazon_suggest"))
+    more = emit(endpoint_rows(resolved, "amazon", "suggest_ext"), _rows(object_texts(body), "amazon_suggest_ext"))
+    used = used_fallback(spare, resolved, "amazon", "suggest", when_missing=True)
+    return main.unionByName(used).unionByName(more)
 
 
 def alibaba_suggestions(resolved: DataFrame) -> DataFrame:
