@@ -2,7 +2,8 @@
 
 Every page becomes one array of elements in document order, kept in the page's own row. Selectors are then
 ordinary array expressions, so nothing is shuffled. An element covers the interval [ord, last] of document order:
-``b`` is inside ``a`` when ``a.ord < b.ord <= a.last``.
+``b`` is inside ``a`` when ``a.ord < b.ord <= a.last``. The parser also records which wanted rules enclose an element
+(``inside``) and which places of the array its own contents take (``first`` to ``past``), so selectors are linear.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 ELEMENT_TYPE = (
-    "array<struct<ord:int,last:int,tag:string,classes:array<string>,attrs:map<string,string>,text:string>>"
+    "array<struct<ord:int,last:int,tag:string,classes:array<string>,attrs:map<string,string>,text:string,"
+    "first:int,past:int,inside:array<string>>>"
 )
 _ARROW_TYPE = pa.list_(pa.struct([
     ("ord", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("first", pa.int32()), ("past", pa.int32()),
+    ("inside", pa.list_(pa.string())),
 ]))
 
 # Elements without content, and elements whose strings do not count as text of those around them.
@@ -32,6 +35,10 @@ APART_TAGS = frozenset(["rp", "rt", "script", "style", "template"])
 Wanted = tuple[str | None, str | None, str | None]  # tag, class, attribute; None matches any
 
 
+def rule_name(rule: Wanted) -> str:
+    return "|".join(part or "" for part in rule)
+
+
 class _Outline(HTMLParser):
     """Collects the wanted elements of one page. Tags close only what is open; nothing is implied."""
 
@@ -39,6 +46,7 @@ class _Outline(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.wanted = wanted
         self.open: list[dict] = []
+        self.enclosing: list[tuple[str, ...]] = [()]
         self.depth: dict[str, int] = {}
         self.apart: list[str] = []
         self.found: list[dict] = []
@@ -53,31 +61,38 @@ class _Outline(HTMLParser):
             if text:
                 self.strings.append((self.apart[-1] if self.apart else None, text))
 
-    def _keeps(self, tag: str, classes: list[str], attrs: dict[str, str]) -> bool:
+    def _met(self, tag: str, classes: list[str], attrs: dict[str, str]) -> list[str]:
+        """The wanted rules that an element meets."""
         if self.wanted is None:
-            return True
+            return []
         rules = [*self.wanted.get(tag, ()), *self.wanted.get(None, ())]
-        return any((c is None or c in classes) and (a is None or a in attrs) for _, c, a in rules)
+        return [rule_name(r) for r in rules if (r[1] is None or r[1] in classes) and (r[2] is None or r[2] in attrs)]
 
     def _open(self, tag: str, attrs: list[tuple[str, str | None]], void: bool) -> None:
         self._flush()
         values = {name: value or "" for name, value in attrs}
         classes = values.get("class", "").split()
+        met, inside = self._met(tag, classes, values), self.enclosing[-1]
         element = {
             "ord": self.count, "last": self.count, "tag": tag, "classes": classes, "attrs": values, "text": "",
-            "start": len(self.strings), "keep": self._keeps(tag, classes, values),
+            "start": len(self.strings), "keep": self.wanted is None or bool(met), "inside": inside,
         }
         self.count += 1
         if element["keep"]:
             self.found.append(element)
+        element["first"] = element["past"] = len(self.found)
         if not void:
             self.open.append(element)
+            # One tuple per distinct set of rules on the way down, shared by all elements below.
+            self.enclosing.append(inside if set(met) <= set(inside) else tuple(sorted({*inside, *met})))
             self.depth[tag] = self.depth.get(tag, 0) + 1
             if tag in APART_TAGS:
                 self.apart.append(tag)
 
     def _close_last(self) -> None:
         element = self.open.pop()
+        self.enclosing.pop()
+        element["past"] = len(self.found)
         tag = element["tag"]
         self.depth[tag] -= 1
         if tag in APART_TAGS:
@@ -131,7 +146,7 @@ class _Outline(HTMLParser):
         while self.open:
             self._close_last()
         return [
-            {**{k: e[k] for k in ("ord", "last", "tag", "classes", "text")}, "attrs": list(e["attrs"].items())}
+            {**{k: e[k] for k in ("ord", "last", "tag", "classes", "text", "first", "past", "inside")}, "attrs": list(e["attrs"].items())}
             for e in self.found
         ]
 
@@ -198,9 +213,11 @@ def either(*tests: Test) -> Test:
 
 
 def within(els: Column, outer: Test, inner: Test) -> Test:
-    """``inner`` somewhere inside ``outer``."""
+    """``inner`` somewhere inside ``outer``, which must be a rule, or either of some, that the parser was given."""
+    names = F.array(*[F.lit(rule_name(rule)) for rule in outer.wanted])
+
     def test(e: Column) -> Column:
-        return inner(e) & F.exists(els, lambda o: outer(o) & (o["ord"] < e["ord"]) & (e["ord"] <= o["last"]))
+        return inner(e) & F.arrays_overlap(e["inside"], names)
 
     test.wanted = [*outer.wanted, *inner.wanted]
     return test
@@ -212,11 +229,8 @@ def select(els: Column, test: Test) -> Column:
 
 def first(els: Column, test: Test, inside: Column | None = None) -> Column:
     """The first matching element, of the page or of the element ``inside``; NULL if none."""
-    def match(e: Column) -> Column:
-        hit = test(e)
-        return hit if inside is None else hit & (inside["ord"] < e["ord"]) & (e["ord"] <= inside["last"])
-
-    return F.get(F.filter(els, match), F.lit(0))
+    among = els if inside is None else F.slice(els, inside["first"] + 1, inside["past"] - inside["first"])
+    return F.get(F.filter(among, test), F.lit(0))
 
 
 def texts(found: Column) -> Column:

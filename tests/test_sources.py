@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexmine.plans.collection import extract_all
 from lexmine.sources import forums, frontier, markets, results, suggest, webpages
-from lexmine.sources.dom import elements
+from lexmine.sources.dom import elements, first, is_a, select, texts, within
 from lexmine.sources.responses import quarantine, resolve
 from lexmine.sources.trends import trend_records
 from tests.helpers import found, response, responses
@@ -253,3 +253,16 @@ def test_extract_all_and_bad_payloads(spark):
         ("alibaba", "suggest"), ("forum", "reddit")])]
     rows.append(response("bing", "suggest", '["q",["fine"]]', seq=9))
     assert found(extract_all(responses(spark, *rows))) == [("fine", "bing_suggest")]
+
+
+def test_selectors_look_inside_nested_elements(spark):
+    nav, link, box = is_a("nav"), is_a("a"), is_a("div", cls="b")
+    page = '<a>0</a><nav><div class="b"><a>1</a></div><nav><a>2</a></nav></nav><div class="b"><p><a>3</a></div><a>4</a>'
+    df = spark.createDataFrame([(page,)], "body string")
+    els = elements(F.col("body"), [w for t in (nav, link, box) for w in t.wanted])
+    row = df.select(els.alias("els")).select(
+        texts(select(F.col("els"), within(F.col("els"), nav, link))).alias("in_nav"),
+        F.transform(select(F.col("els"), box), lambda b: first(F.col("els"), link, b)["text"]).alias("in_box"),
+        F.transform(select(F.col("els"), nav), lambda b: first(F.col("els"), box, b)["text"]).alias("boxes"),
+    ).first()
+    assert row.in_nav == ["1", "2"] and row.in_box == ["1", "3"] and row.boxes == ["1", None]

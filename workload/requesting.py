@@ -61,6 +61,7 @@ def expand_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.expand_alphabet(roots(spark, sf_dir))
 
 
+# The channels' modifiers and addresses, stated again independently of the library's.
 @query("expand_modifiers", f"""WITH {ROOTS_SQL}, lists(channel, endpoint, url, words) AS (VALUES
   ('google', 'suggest_modifier', 'https://suggestqueries.google.com/complete/search',
    ['price','manufacturer','factory','supplier','custom','oem','wholesale','specification','for sale','quote','cost',

@@ -124,7 +124,10 @@ SIDE = {
 
 
 def rule_case(x: str) -> str:
-    """The eleven phrase rules in order, ELSE NULL (x is the folded keyword)."""
+    """The eleven phrase rules in order, ELSE NULL (x is the folded keyword).
+
+    Their patterns are fixed values, stated here independently of the library's.
+    """
     arms = [f"WHEN {whole(x, alternatives)} THEN {q(label)}" for label, alternatives in SIDE.items()]
     problem = (
         "^(?:how to|how do|what is|what are|why|when to|where to|can i|should i|is it|which is better|vs"
