@@ -110,13 +110,11 @@ def global_totals(records: DataFrame, labelled: DataFrame, clustered: DataFrame)
     def one(df: DataFrame, name: str, value: Column) -> DataFrame:
         return df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("metric"), "value")
 
-    ids = counts(clustered, ROOT, "cluster_id")
-    parts = [
-        one(records, "raw", F.count(F.lit(1))),
-        one(labelled, "clean", F.count(F.lit(1))),
-        one(ids, "cluster_ids", F.countDistinct("cluster_id")),
-        one(ids, "clusters", F.count(F.lit(1))),
-    ]
+    found = counts(clustered, ROOT, "cluster_id").agg(
+        F.countDistinct("cluster_id").alias("cluster_ids"), F.count(F.lit(1)).alias("clusters"))
+    names = ["cluster_ids", "clusters"]
+    ids = found.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
+    parts = [one(records, "raw", F.count(F.lit(1))), one(labelled, "clean", F.count(F.lit(1))), ids]
     return reduce(DataFrame.unionByName, parts)
 
 

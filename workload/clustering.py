@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmine.operators import clusters, features, reports
 from lexmine.operators.cleaning import clean
+from lexmine.operators.cluster_fit import fit
 from lexmine.plans.analysis import analyze
 from lexmine.session import cut_lineage
 from lexmine.sinks.files import conform
 from workload import sql_base as s
-from workload.captures import records
+from workload.captures import records, table
 from workload.labelling import RECORD
 from workload.registry import query
 
@@ -74,6 +75,39 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("tfidf_capped", f"""WITH {GRAMS_SQL},
+vocab AS (
+  SELECT root_keyword, gram FROM tf GROUP BY root_keyword, gram
+  QUALIFY row_number() OVER (PARTITION BY root_keyword ORDER BY sum(tf) DESC, gram) <= 12)
+SELECT tf.root_keyword, keyword, count(vocab.gram) AS terms FROM tf LEFT JOIN vocab USING (root_keyword, gram) GROUP BY ALL""")
+def tfidf_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of every keyword with a vocabulary of 12 grams a root; many keywords have none."""
+    rows = features.tfidf(cut_lineage(clean(records(spark, sf_dir)).select("root_keyword", "keyword")), max_features=12)
+    return rows.select("root_keyword", "keyword", F.size("terms").cast("bigint").alias("terms"))
+
+
+ALPHABETS = ["abcdefghij", "klmnopqrst", "uvwxyzäöüß", "0123456789"]
+
+
+@query("cluster_planted", """
+SELECT 'root' || p_partkey // 4 % 8 AS root_keyword, p_partkey % 4 AS planted, count(*) AS keywords, 1 AS clusters, 1 AS groups
+FROM part GROUP BY ALL""")
+def cluster_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of four alphabets in each root: each planted group is one cluster, and no cluster has two."""
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 4).alias("planted"))
+    spelt = F.lit(None).cast("string")
+    for i, letters in enumerate(ALPHABETS):
+        word = F.concat(F.lit(f"{letters} "), F.translate(F.col("p_partkey").cast("string"), "0123456789", letters))
+        spelt = F.when(F.col("planted") == i, word).otherwise(spelt)
+    root = F.concat(F.lit("root"), (F.floor(F.col("p_partkey") / 4) % 8).cast("string"))
+    planted = cut_lineage(part.select(root.alias("root_keyword"), spelt.alias("keyword"), "planted"))
+    found = planted.join(fit(planted.select("root_keyword", "keyword"), n_clusters=4), ["root_keyword", "keyword"])
+    pairs = found.groupBy("root_keyword", "planted", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    mixed = pairs.groupBy("root_keyword", "cluster_id").agg(F.count(F.lit(1)).alias("groups"))
+    return pairs.join(mixed, ["root_keyword", "cluster_id"]).groupBy("root_keyword", "planted").agg(
+        F.sum("n").alias("keywords"), F.count(F.lit(1)).alias("clusters"), F.max("groups").alias("groups"))
+
+
 @query("cluster_labels", f"WITH {CLUSTERED_SQL} SELECT root_keyword, keyword, cluster_id, cluster_label FROM clustered")
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_clusters(spark, sf_dir).select("root_keyword", "keyword", "cluster_id", "cluster_label")
