@@ -12,11 +12,13 @@ from lexmine.functions.patterns import Rule
 MIN_LENGTH, MAX_LENGTH = 3, 120
 MIN_WORDS, MAX_WORDS = 1, 15
 
-STOPWORDS = (
-    "the a an and or but in on at to for of with by from is it as be was are were been have has had do does "
-    "did will would could should may might shall can not no nor so yet both either neither each few more most "
-    "other some such than too very just then there these those what when where who which why how"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "it", "as",
+    "be", "was", "are", "were", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "shall", "can", "not", "no", "nor", "so", "yet", "both", "either", "neither", "each", "few",
+    "more", "most", "other", "some", "such", "than", "too", "very", "just", "then", "there", "these", "those", "what",
+    "when", "where", "who", "which", "why", "how",
+]
 
 BLOCKED_WORDS = ["porn", "sex", "adult", "casino", "gambling", "drug", "illegal"]
 

@@ -138,7 +138,10 @@ def rule_case(x: str) -> str:
         "vs|versus|alternative|compare|comparison|instead of|better than|competitor|competing|rival|similar to"
     )
     arms.append(f"WHEN {whole(x, competitor)} THEN 'Competitor Keyword'")
-    low = LOW_FIRST.replace("pdf manual", "pdf|manual download")
+    low = (
+        "rental|rent|hire|second.?hand|used|refurbished|repair|spare part|diy|how to make|homemade|free download"
+        "|pdf|manual download|wikipedia|history|invention|who invented|definition of"
+    )
     arms.append(f"WHEN {whole(x, low)} THEN 'Low Intent / Negative Keyword'")
     industrial = (
         "industrial|heavy industrial|commercial|professional|heavy.?duty|high.?capacity|high.?performance|robust"
