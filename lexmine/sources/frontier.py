@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmine import rules
+from lexmine.operators.joins import salted_filter
+from lexmine.sources.responses import fallback_roots
 from lexmine.functions.text import quote_plus, strip
 
 REQUEST = ["channel", "endpoint", "query_ord", "query", "url"]
@@ -47,6 +49,13 @@ def expand_root(roots: DataFrame) -> DataFrame:
     ])
 
 
+def fallback_requests(roots: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Requests to the legacy suggestions of Amazon, for roots whose answer is missing or did not parse."""
+    answered, present = fallback_roots(resolved, "amazon", "suggest", when_missing=True)
+    unanswered = salted_filter(roots.select("root_keyword"), answered, ["root_keyword"], "root_keyword", present)
+    return _expand(unanswered, [_request("amazon", "suggest_legacy", 0, F.col("root_keyword"), rules.AMAZON_LEGACY_URL)])
+
+
 def expand_alphabet(roots: DataFrame) -> DataFrame:
     letters = F.array(*[F.lit(c) for c in rules.ALPHABET])
     return roots.select("root_keyword", F.posexplode(letters).alias("query_ord", "_letter")).select(

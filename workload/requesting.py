@@ -52,6 +52,21 @@ def expand_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.expand_root(roots(spark, sf_dir))
 
 
+@query("fallback_requests", f"""WITH {ROOTS_SQL},
+answered AS (SELECT lower(concat_ws(' ', p_brand, p_type, p_name)) AS root_keyword FROM part GROUP BY ALL HAVING max(p_size) > 40)
+SELECT root_keyword, 'amazon' AS channel, 'suggest_legacy' AS endpoint, 0 AS query_ord, root_keyword AS query,
+       'https://completion.amazon.com/search/complete' AS url
+FROM roots WHERE root_keyword NOT IN (SELECT root_keyword FROM answered)""")
+def fallback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of large parts parse, those of middle ones do not, and small ones have none."""
+    root = F.lower(F.concat_ws(" ", "p_brand", "p_type", "p_name")).alias("root_keyword")
+    sized = table(spark, sf_dir, "part").groupBy(root).agg(F.max("p_size").alias("size")).where("size > 20")
+    body = F.when(F.col("size") > 40, '{"suggestions": []}').otherwise("<html>")
+    answers = sized.select(
+        "root_keyword", F.lit("amazon").alias("channel"), F.lit("suggest").alias("endpoint"), body.alias("body"))
+    return frontier.fallback_requests(roots(spark, sf_dir), answers)
+
+
 @query("expand_alphabet", f"""WITH {ROOTS_SQL}
 SELECT root_keyword, 'google' AS channel, 'suggest_alpha' AS endpoint, CAST(i AS INTEGER) AS query_ord,
        root_keyword || ' ' || chr(CAST(97 + i AS INTEGER)) AS query,
