@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Entries of a worker's piece and pair memories, which are emptied beyond it. Results do not depend on it.
-MEMORY = 300_000
+MEMORY = 1_000_000
 # Rows worked on and handed back to Spark together.
 ROWS = 256
 
@@ -28,8 +29,7 @@ _LETTER, _NUMBER, _SPACE = 1, 2, 3
 def _classes() -> np.ndarray:
     """The class of each code point, as the regex module sees it."""
     table = np.zeros(0x110000, np.uint8)
-    points = [chr(c) if not 0xD800 <= c < 0xE000 else "-" for c in range(0x110000)]
-    every = "".join(points)
+    every = "".join(map(chr, range(0xD800))) + "-" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
     for name, mark in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _SPACE)):
         for m in regex.finditer(name, every):
             table[m.start():m.end()] = mark
@@ -107,7 +107,7 @@ class Vocabulary:
                     break
         self.automaton = ahocorasick.Automaton()
         for token, i in made.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), i)
             self.shorter[i] = next((made[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in made), -1)
         self.automaton.make_automaton()
 
@@ -135,22 +135,24 @@ class Vocabulary:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
+        size, shorter, memory = self.size, self.shorter, self.memory
         longest = [-1] * len(piece)
-        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1] = token
-        dead, out, at, token = bytearray(len(piece) + 1), [], 0, longest[0]
-        while at < len(piece):
-            end = at + self.size[token]
-            if not dead[end] and (not out or self._remembered(out[-1], token)):
+        for end, token in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - size[token] + 1] = token
+        dead, out, at, token, stop = set(), [], 0, longest[0], len(piece)
+        while at < stop:
+            end = at + size[token]
+            if end not in dead and (not out or memory.get((out[-1], token)) or self._remembered(out[-1], token)):
                 out.append(token)
                 at = end
-                token = longest[at] if at < len(piece) else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+                if at < stop:
+                    token = longest[at]
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
-                at -= self.size[token]
+                at -= size[token]
         return out
 
     def _remembered(self, a: int, b: int) -> bool:
@@ -170,7 +172,8 @@ class Pieces(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.vocabulary.piece(piece.encode()), "<u4").tobytes()
+        ids = self.vocabulary.piece(piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) > MEMORY:
             self.clear()
         if len(piece) < 100:
