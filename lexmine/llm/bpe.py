@@ -14,8 +14,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Entries of a worker's piece and pair memories, which are emptied beyond it. Results do not depend on it.
-MEMORY = 1_000_000
+# Entries of a worker's memories of pieces and of pairs, which are emptied beyond them. Results do not depend on it.
+MEMORY = 400_000
+PAIRS = 150_000
 # Rows worked on and handed back to Spark together.
 ROWS = 256
 
@@ -158,7 +159,7 @@ class Vocabulary:
     def _remembered(self, a: int, b: int) -> bool:
         known = self.memory.get((a, b))
         if known is None:
-            if len(self.memory) > MEMORY:
+            if len(self.memory) > PAIRS:
                 self.memory.clear()
             known = self.memory[a, b] = self._apart(a, b)
         return known
