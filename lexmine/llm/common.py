@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. A private one is made for local runs that set none; a cluster must set it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="lexmine-llm-"))
-
+from lexmine.session import shared_folder
 
 def _home(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
@@ -89,3 +77,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("id"), F.col("m").alias("component")).unionByName(
         edges.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()
     )
+
+
+def forest(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same connected parts as the given ones, at most one for each node: to its part's smallest."""
+    nodes, places = np.unique(np.concatenate([one, two]), return_inverse=True)
+    a, b = places[:len(one)], places[len(one):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]

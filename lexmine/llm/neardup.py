@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexmine.llm.common import components, salted_join, settle
+from lexmine.llm.common import components, forest, salted_join, settle
 from lexmine.llm.shingles import digest, shingle_sets
 
 # Values of a sketch, and how far below the threshold an estimate from them may lie: four deviations at 64 values.
 K = 64
 MARGIN = 0.2
+# Documents of a group that a task compares with as many others.
+BLOCK = 512
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -62,14 +65,42 @@ def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
         for x, y in pairs], pa.int64())
 
 
+def _overlaps(ours: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of each two sets."""
+    total = np.zeros((len(ours), len(theirs)), np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(ours)), np.unique(np.concatenate(theirs)), assume_unique=True)
+    if not len(common):
+        return total
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        found = common[at] == values
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[found], at[found]
+
+    sides = [placed(ours), placed(theirs)]
+    for first in range(0, len(common), 4096):
+        grids = []
+        for (row, at), n in zip(sides, total.shape):
+            grid = np.zeros((n, min(4096, len(common) - first)), np.float32)
+            here = (at >= first) & (at < first + 4096)
+            grid[row[here], at[here] - first] = 1
+            grids.append(grid)
+        total += grids[0] @ grids[1].T
+    return total
+
+
 class Search:
     """The inverted lists of one table of representatives (rep, n_shingles, sketch)."""
 
     def __init__(self, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
-        self.reps, self.docs, self.ids, self.texts, self.words, self.percent = reps, docs, id_col, text_col, words, percent
-        self.least = percent / 100 - MARGIN
+        self.reps, self.percent, self.least = reps, percent, percent / 100 - MARGIN
+        self.lists = settle(self._lists(), "lists")
+        asked = self.lists.select(F.col("rep").alias("id")).distinct()
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.hint("shuffle_hash"), "id", "left_semi")
+        self.sets = settle(full_sets(texts.dropDuplicates(["id"]), "id", "text", words), "sets")
 
-    def lists(self) -> DataFrame:
+    def _lists(self) -> DataFrame:
         """value, rep, n_shingles: the values by which a document is found.
 
         Two sketches of which one's share `least` is in the other meet in the first values of both in any common
@@ -92,48 +123,78 @@ class Search:
         two = self.reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
         joined = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
         both = F.array_intersect(joined, F.array_intersect("sketch_a", "sketch_b"))
-        near = settle(
-            pairs.join(one, "a").join(two, "b").filter(F.size(both) >= F.lit(self.least) * F.size(joined)).select("a", "b"), "near")
-        asked = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.select(F.col(self.ids).alias("id"), F.col(self.texts).alias("text")).join(
-            asked.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-        sets = settle(full_sets(texts, "id", "text", self.words), "sets")
-        pairs = near.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("set_a")), "a")
-        pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("packed").alias("set_b")), "b")
-        found = pairs.select(
+        near = pairs.join(one, "a").join(two, "b").filter(F.size(both) >= F.lit(self.least) * F.size(joined)).select("a", "b")
+        near = near.join(self.sets.select(F.col("id").alias("a"), F.col("packed").alias("set_a")), "a")
+        near = near.join(self.sets.select(F.col("id").alias("b"), F.col("packed").alias("set_b")), "b")
+        found = near.select(
             "a", "b", _overlap("set_a", "set_b").alias("same"), ((F.length("set_a") + F.length("set_b")) / 8).cast("long").alias("sizes"))
         return found.filter(F.col("same") * 100 >= (F.col("sizes") - F.col("same")) * self.percent).select("a", "b")
 
-    def _near_in_size(self, a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+    def stars(self) -> DataFrame:
+        """Links between the first document of each list and the others."""
+        n = F.col("n_shingles")
+        firsts = self.lists.groupBy("value").agg(F.min(F.struct(F.col("rep").alias("a"), n.alias("n"))).alias("first"), F.count("*").alias("n_docs"))
+        pairs = salted_join(self.lists, firsts, ["value"], "n_docs", F.col("rep"), self.lists.count()).select(
+            F.col("first.a").alias("a"), F.col("first.n").alias("n"), F.col("rep").alias("b"), "n_shingles")
+        near_in_size = F.least("n", "n_shingles") * 100 >= F.greatest("n", "n_shingles") * self.percent
+        return self.verified(pairs.filter("a <> b").filter(near_in_size).select("a", "b").distinct())
+
+    def rest(self, known: DataFrame) -> DataFrame:
+        """A forest of the links between documents that share a list and that `known` does not connect.
+
+        Lists with one connected part are done. The others are put together by their largest part; of such a group,
+        the documents outside that part are compared with all. They are dealt in blocks, and a task answers with a
+        forest of the links that it finds, so no pairs are made into rows.
+        """
+        members = self.lists.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(
+            "value", "rep", F.coalesce("component", "rep").alias("component"))
+        members = settle(members, "members")
+        parts = members.groupBy("value", "component").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("value").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+        grouped = settle(
+            members.join(largest.select("value", F.col("top.component").alias("part")), "value").select("part", "rep", "component").distinct(), "grouped")
+        outside = F.col("component") != F.col("part")
+        blocks = grouped.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("m_blocks"), F.ceil(F.count_if(outside) / BLOCK).alias("q_blocks"))
+        roles = grouped.select("*", F.explode(F.when(outside, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("member"))
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("member"), F.col("m_blocks")).otherwise(F.col("q_blocks")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("member"), F.col("q_blocks")).otherwise(F.col("m_blocks")) - 1))
+        dealt = roles.join(blocks.filter("q_blocks > 0"), "part").withColumn("own", own).withColumn("other", every).select(
+            "part", F.when(F.col("member"), F.col("own")).otherwise(F.col("other")).alias("m_block"),
+            F.when(F.col("member"), F.col("other")).otherwise(F.col("own")).alias("q_block"), "member", F.col("rep").alias("id"), "component")
+        percent, least = self.percent, self.least
+
+        def compared(frame: pd.DataFrame) -> pd.DataFrame:
+            ours, theirs = frame[~frame["member"]], frame[frame["member"]]
+            found = []
+            if len(ours) and len(theirs):
+                sides = [[np.frombuffer(p, np.int64) for p in f["packed"]] for f in (ours, theirs)]
+                sizes = [np.array([len(s) for s in side]) for side in sides]
+                needed = [np.maximum(1, np.floor(np.minimum(n, K) * least)) for n in sizes]
+                small, large = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+                apart = ours["component"].to_numpy()[:, None] != theirs["component"].to_numpy()
+                near = apart & (small * 100 >= large * percent)
+                near &= _overlaps(*[[s[:K] for s in side] for side in sides]) >= np.minimum.outer(*needed)
+                rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if len(rows):
+                    same = _overlaps([sides[0][i] for i in rows], [sides[1][j] for j in columns])
+                    union = np.add.outer(sizes[0][rows], sizes[1][columns]) - same
+                    i, j = np.nonzero((same * 100 >= union * percent) & near[np.ix_(rows, columns)])
+                    if len(i):
+                        one, two = forest(ours["id"].to_numpy()[rows[i]], theirs["id"].to_numpy()[columns[j]])
+                        found.append(pd.DataFrame({"a": one, "b": two}))
+            return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+        return dealt.join(self.sets, "id").groupBy("part", "m_block", "q_block").applyInPandas(compared, "a long, b long")
 
     def links(self) -> DataFrame:
         """Links that connect all documents that links connect.
 
         First every document of a list is compared with the list's first one. What is connected then needs no more
-        comparing: of each list, the documents outside its largest connected part are compared with all that they are
-        not connected with. So a group of near copies costs about one comparison per document and list.
+        comparing, so a group of near copies costs about one comparison per document and list; what is left apart is
+        compared in blocks.
         """
-        lists = settle(self.lists(), "lists")
-        firsts = lists.groupBy("value").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("n_shingles").alias("n"))).alias("first"), F.count("*").alias("n_docs"))
-        n = lists.count()
-        stars = salted_join(lists, firsts, ["value"], "n_docs", F.col("rep"), n).select(
-            F.col("first.a").alias("a"), F.col("first.n").alias("n"), F.col("rep").alias("b"), "n_shingles")
-        stars = settle(stars.filter("a <> b").filter(self._near_in_size("n", "n_shingles")).select("a", "b").distinct(), "stars")
-        first = settle(self.verified(stars), "links")
-        known = components(first)
-        members = settle(lists.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")), "members")
-        parts = members.groupBy("value", "component").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("value").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        largest = largest.select("value", F.col("top.component").alias("largest"))
-        open_lists = members.join(largest, "value")
-        outside = open_lists.filter("component <> largest").select(
-            "value", F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("part"))
-        pairs = outside.join(open_lists, "value").filter("part <> component").filter(self._near_in_size("n", "n_shingles"))
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        second = self.verified(settle(pairs.join(stars, ["a", "b"], "left_anti"), "rest"))
-        return first.unionByName(second)
+        first = settle(self.stars(), "links")
+        return first.unionByName(settle(self.rest(components(first)), "links"))
 
 
 def near_duplicates(

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.common import components, salted_join, settle
+from lexmine.llm.common import components, forest, salted_join, settle
 
 # Rounding of single-precision distances.
 SLACK = 1e-3
@@ -119,24 +119,6 @@ def fit(groups: DataFrame, sample: int, lists: int, parts: int, codes: int) -> d
     return {dim: Quantizer(np.array(rows, np.float64), lists, parts, codes) for dim, rows in by_dim.items()}
 
 
-def _forest(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same connected parts as the given ones, at most one for each node: to its part's smallest."""
-    nodes, places = np.unique(np.concatenate([one, two]), return_inverse=True)
-    a, b = places[:len(one)], places[len(one):]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.93,
     lists: int = 32, parts: int = 16, codes: int = 64, sample: int = 8192, block: int = 2048,
@@ -217,7 +199,7 @@ def near_vectors(
                     n = np.bincount(i, copies[j], len(x)).astype(np.int64)
                     hit = np.flatnonzero(n)
                     out.append(pd.DataFrame({"a": ids_x[hit], "b": ids_x[hit], "n": n[hit]}))
-                    one, two = _forest(ids_x[i], ids_b[j])
+                    one, two = forest(ids_x[i], ids_b[j])
                     out.append(pd.DataFrame({"a": one, "b": two, "n": np.zeros(len(one), np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
 
