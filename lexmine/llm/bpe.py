@@ -83,7 +83,8 @@ def split(texts: list[str]) -> tuple[list[str], list[int]]:
 class Vocabulary:
     """Tokens of a rank file (base64 and rank a line), with the merge that makes each and the tokens that begin it."""
 
-    def __init__(self, ranks: bytes):
+    def __init__(self, ranks: bytes, pairs: int = PAIRS):
+        self.pairs = pairs
         self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         top = 1 + max(self.ids.values())
         self.tokens = [b""] * top
@@ -159,7 +160,7 @@ class Vocabulary:
     def _remembered(self, a: int, b: int) -> bool:
         known = self.memory.get((a, b))
         if known is None:
-            if len(self.memory) > PAIRS:
+            if len(self.memory) > self.pairs:
                 self.memory.clear()
             known = self.memory[a, b] = self._apart(a, b)
         return known
@@ -168,14 +169,15 @@ class Vocabulary:
 class Pieces(dict):
     """Packed ids by piece."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, most: int = MEMORY):
         super().__init__()
+        self.most = most
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.vocabulary.piece(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) > MEMORY:
+        if len(self) > self.most:
             self.clear()
         if len(piece) < 100:
             self[piece] = packed
@@ -183,10 +185,10 @@ class Pieces(dict):
 
 
 class Codec:
-    def __init__(self, ranks: bytes, pattern: str):
-        self.vocabulary = Vocabulary(ranks)
+    def __init__(self, ranks: bytes, pattern: str, memory: int = MEMORY, pairs: int = PAIRS):
+        self.vocabulary = Vocabulary(ranks, pairs)
         self.pattern = None if pattern == WORDS_PATTERN else regex.compile(pattern)
-        self.pieces = Pieces(self.vocabulary)
+        self.pieces = Pieces(self.vocabulary, memory)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
@@ -202,9 +204,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def _codec(ranks: bytes, pattern: str) -> Codec:
+def _codec(ranks: bytes, pattern: str, memory: int = MEMORY, pairs: int = PAIRS) -> Codec:
     """One per worker process, kept over its tasks."""
-    return Codec(ranks, pattern)
+    return Codec(ranks, pattern, memory, pairs)
 
 
 def _mapped(df: DataFrame, ranks: bytes, pattern: str, schema: str, columns) -> DataFrame:

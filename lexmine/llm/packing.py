@@ -14,6 +14,8 @@ from lexmine.llm.bpe import ROWS, _codec
 
 # Tokens that a task holds before it packs them: a shard of the output.
 SHARD_TOKENS = 4_000_000
+# Pieces and pairs of tokens that a worker remembers; packing runs alone, so it may remember more than encoding does.
+MEMORY = 1_000_000
 # Rows of a batch handed back to Spark.
 PACKS = 512
 
@@ -108,7 +110,7 @@ def pack(
     schema = f"shard string, row int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, starts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(*shared.value)
+        codec = _codec(*shared.value, MEMORY, MEMORY)
         task, shard = TaskContext.get().partitionId(), 0
         names = ["ids", "positions", "cu_seqlens", "doc_ids", "starts"]
         id_type = None
