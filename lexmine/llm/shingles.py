@@ -71,7 +71,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
         bounds = np.searchsorted(start, edges).tolist()
         hashed = word.copy()
-        for k in range(1, words):
+        for k in range(1, min(words, len(word))):
             hashed[:len(word) - k] = _mix(hashed[:len(word) - k] * _M1 + word[k:])
         for a, b in zip(bounds, bounds[1:]):
             if b - a >= words:

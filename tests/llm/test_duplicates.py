@@ -118,6 +118,32 @@ def test_shingle_sets_have_the_sizes_of_word_sets():
         assert len(joined[0] & joined[1]) == len(shingles_of("x y z w v", n))
 
 
+@pytest.mark.parametrize("n", [1, 4, 5])
+def test_shingle_sets_of_chunks_of_few_words(n):
+    """A chunk that holds fewer words than a shingle: small arrays, and long texts, which are chunks by themselves."""
+    import pyarrow as pa
+
+    few = ["a", "a b", "A b c", "a b c d", "a b c d e"]
+    together = [s.tolist() for s in shingle_sets(pa.array([*few, "and other words to fill the chunk"]), n)]
+    for k, text in enumerate(few):
+        for texts in ([text], [None, text, "", " "]):
+            found = [s.tolist() for s in shingle_sets(pa.array(texts), n)]
+            assert found == [together[k] if t == text else [] for t in texts]
+    long = "x" * (1 << 20)
+    texts = [f"{long} y", "a b", f"{long} y z", f"y {long}", "a b c"]
+    found = [s.tolist() for s in shingle_sets(pa.array(texts), n)]
+    assert found[1] == together[1] and found[4] == together[2]
+    assert [len(s) for s in found] == [len(shingles_of(t, n)) for t in texts]
+
+
+def test_near_duplicates_of_two_words_alone(spark):
+    rows = [(1, "one two"), (2, None), (3, "One  two"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for n in (4, 5):
+        found = sorted(tuple(r) for r in near_duplicates(docs, words=n).collect())
+        assert found == near_wanted(rows, n)
+
+
 def test_near_duplicates_of_documents(spark):
     docs = documents(spark)
     found = sorted(tuple(r) for r in near_duplicates(docs, words=4).collect())
