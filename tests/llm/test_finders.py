@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lexmine.llm import langid, secrets
-from lexmine.llm.licenses import LEAST, TEMPLATES, anchors, scan, templates, window_plan
+from lexmine.llm.licenses import LEAST, TEMPLATES, anchors, known, scan, templates, window_plan
 from lexmine.llm.pii import Finder, iban_valid, luhn, pii_digest
 from lexmine.llm.secrets import secrets_digest
 from tests.llm.frames import columns, documents, edge_docs, edge_rows, empty_docs
@@ -209,3 +209,26 @@ def test_every_match_has_an_anchor():
 
 def test_licences_of_edge_rows(spark):
     assert scan(edge_docs(spark)).count() == 0 and scan(empty_docs(spark)).count() == 0
+
+
+def test_licences_that_share_wording(spark):
+    notice = lambda name, version, a=":", b=",": (
+        f"This program is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name}General Public "
+        f"License as published by the Free Software Foundation{b} either version {version} of the License, or any later one.")
+    gpl2, gpl3, lgpl, agpl = notice("", "2", ";", ";"), notice("", "3"), notice("Lesser ", "2.1"), notice("Affero ", "3")
+    whole = {n: t for n, t in known() if len(t) > 5000}
+    wanted = {
+        gpl2: {"GPL-2.0"}, gpl3: {"GPL-3.0"}, lgpl: {"LGPL-2.1"}, agpl: {"AGPL-3.0"}, f"{gpl2} {gpl3}": {"GPL-2.0", "GPL-3.0"},
+        f"{lgpl} {gpl2}": {"LGPL-2.1", "GPL-2.0"}, "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "Licensed under CC BY 4.0": {"CC-BY-4.0"}, "Licensed under CC BY-SA 4.0": {"CC-BY-SA-4.0"},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0"},
+        whole["GPL-2.0"]: {"GPL-2.0"}, whole["MPL-2.0"]: {"MPL-2.0"}, whole["LGPL-2.1"]: {"LGPL-2.1"},
+        **{next(t for n, t in reversed(known()) if n == name): {name} for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "MIT-0", "0BSD", "ISC", "EPL-2.0")},
+    }
+    rows = [(k, f"some words before {text} and some after") for k, text in enumerate(wanted)]
+    short = "This work is licensed under the GNU General Public License, version 3."
+    rows += [(100 + k, "word " * k + short) for k in range(16)] + [(120, short.replace("3", "x"))]
+    found = {k: set() for k, _ in rows}
+    for k, name in columns(scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "license"):
+        found[k].add(name)
+    assert list(found.values()) == [*wanted.values(), *[{"GPL-3.0"}] * 17]
