@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmine.llm import bpe
+from lexmine.llm import bestfit, bpe, centroids
 from lexmine.llm.exact import exact_dedup
 from lexmine.llm.langid import identify_documents
 from lexmine.llm.licenses import expected_sql, scan
 from lexmine.llm.mixing import mix
 from lexmine.llm.neardup import near_duplicates
+from lexmine.llm.negatives import hard_negatives
 from lexmine.llm.packing import pack, summary
 from lexmine.llm.pii import pii_digest
 from lexmine.llm.registry import EXPECTED, QUERIES, query, table  # noqa: F401
@@ -131,3 +133,70 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(pack(table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN))
+
+
+def _nearest(centres: str) -> str:
+    """SQL for every kept vector with the nearest of the centroids, ties to the smaller number."""
+    apart = "CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT)"
+    return f"""
+    SELECT r, vec_id, v, number, d FROM (
+        SELECT k.*, c.number, {apart} AS d, row_number() OVER (PARTITION BY k.r ORDER BY {apart}, c.number) AS place
+        FROM kept k CROSS JOIN {centres} c) WHERE place = 1"""
+
+
+def _means(given: str, before: str) -> str:
+    """SQL for the floors of the clusters' means; an empty cluster keeps its centroid."""
+    return f"""
+    SELECT number, CASE WHEN any_value(m.v) IS NULL THEN any_value(b.v) ELSE any_value(m.v) END AS v FROM {before} b LEFT JOIN (
+        SELECT number, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+            SELECT number, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM {given} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY number, i)
+        GROUP BY number) m USING (number) GROUP BY number"""
+
+
+@query("op11_centroids", f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+    SELECT number - 1 AS number, v FROM (
+        SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) AS number, v FROM kept) WHERE number <= 16),
+a0 AS MATERIALIZED ({_nearest("c0")}), c1 AS MATERIALIZED ({_means("a0", "c0")}),
+a1 AS MATERIALIZED ({_nearest("c1")}), c2 AS MATERIALIZED ({_means("a1", "c1")}),
+a2 AS MATERIALIZED ({_nearest("c2")}), c3 AS MATERIALIZED ({_means("a2", "c2")}),
+a3 AS MATERIALIZED ({_nearest("c3")})
+SELECT vec_id, CAST(a.number AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.number) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON a.number = c.number""")
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op12_hard_negatives", """
+WITH rows AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same,
+           CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT r, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS place FROM scores WHERE same) WHERE place <= 5),
+found AS (
+    SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.r, p.other ORDER BY s.score DESC, s.vec_id NULLS LAST) AS place
+    FROM positives p JOIN scores s ON p.r = s.r
+    WHERE NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE place <= 3""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, id_ = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    moved = F.when(id_ % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), id_ % 50 == 0)
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    return bestfit.pack(bestfit.digests(bestfit.pieces(table(spark, sf_dir, "documents"), vocabulary, end=1)))
