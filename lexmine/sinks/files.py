@@ -1,10 +1,12 @@
-"""Write records and results: parquet landing, CSV exports, text reports."""
+"""Write results: CSV exports and text reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from lexmine import rules
+from lexmine.sinks import versions
+from lexmine.sinks.landing import BUCKETS, bucket_number, bucket_of, by_bucket
 
 CSV_OPTIONS = {
     "header": "true", "escape": '"', "emptyValue": "", "nullValue": "", "encoding": "UTF-8",
@@ -37,30 +39,39 @@ def conform(df: DataFrame, *inner: str) -> DataFrame:
     return df.select(*[column(c) for c in rules.OUTPUT_COLUMNS], *extra)
 
 
-def land(records: DataFrame, path: str) -> None:
-    """Write records by root. Adaptive rebalancing splits a hot root over several tasks and files; only the roots
-    present in ``records`` are replaced."""
-    (
-        records.hint("rebalance", "root_keyword").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("root_keyword").parquet(path)
-    )
+def _written(rows: DataFrame, path: str, *by: str) -> bool:
+    """Write a CSV export in one pass; whether it has rows. An empty one is taken away again."""
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+    (counted.write.partitionBy(*by) if by else counted.write).mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    if not seen.get["n"]:
+        versions.remove(rows.sparkSession, path)
+    return seen.get["n"] > 0
 
 
 def write_csv(df: DataFrame, path: str) -> bool:
     """One CSV export; an empty frame writes nothing."""
-    if df.isEmpty():
-        return False
-    conform(df, "seq").write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
-    return True
+    return _written(conform(df, "seq"), path)
+
+
+def write_csv_per_root(df: DataFrame, path: str, buckets: int = BUCKETS) -> bool:
+    """The exports of all roots in a fixed number of folders ``bucket=<n>``; a root's rows are together and in order.
 
+    ``root_rows`` finds those of one root.
+    """
+    order = ["seq"] if "seq" in df.columns else []
+    dealt = by_bucket(df, buckets, *order)
+    return _written(conform(dealt, "seq"), path, "bucket")
 
-def write_csv_per_root(df: DataFrame, path: str) -> bool:
-    """One folder ``root=<slug>`` per root."""
-    if df.isEmpty():
-        return False
-    out = conform(df, "seq").withColumn("root", slug(F.col("root_keyword"))).hint("rebalance", "root")
-    out.write.mode("overwrite").partitionBy("root").options(**CSV_OPTIONS).csv(path)
-    return True
+
+def root_rows(spark: SparkSession, path: str, root: str, extra: list[str] = [], buckets: int = BUCKETS) -> DataFrame:
+    """The export of one root, read back from its bucket alone."""
+    schema = ", ".join(f"`{c}` string" for c in [*rules.OUTPUT_COLUMNS, *extra])
+    folder = f"bucket={bucket_number(root, buckets)}"
+    if folder not in versions.children(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).options(**CSV_OPTIONS).csv(f"{path}/{folder}")
+    return rows.where(F.col("root_keyword") == root)
 
 
 def export_per_root(records: DataFrame, labelled: DataFrame, clustered: DataFrame, folder: str) -> None:
@@ -78,11 +89,14 @@ def export_all(
     write_csv(final_map, f"{folder}/final_keyword_map")
 
 
-def write_root_reports(lines: DataFrame, path: str) -> None:
-    """One folder per root; a report has a bounded number of lines, so each root's lines fit one task."""
-    out = lines.withColumn("root", slug(F.col("root_keyword"))).repartition("root")
-    out = out.sortWithinPartitions("root", "root_keyword", "section", "line_no").select("root", "line")
-    out.write.mode("overwrite").partitionBy("root").text(path)
+def write_root_reports(lines: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Reports of all roots in a fixed number of folders ``bucket=<n>``, back to back in the order of the roots.
+
+    A report has a bounded number of lines, so each root's lines are in one file.
+    """
+    out = lines.withColumn("bucket", bucket_of(F.col("root_keyword"), buckets)).repartition("bucket")
+    out = out.sortWithinPartitions("bucket", "root_keyword", "section", "line_no").select("bucket", "line")
+    out.write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 def write_global_report(lines: DataFrame, path: str) -> None:

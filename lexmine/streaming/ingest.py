@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexmine.operators.cleaning import keep_keyword, normalized
 from lexmine.operators.labels import label
-from lexmine.sinks.files import land
+from lexmine.sinks.landing import by_bucket
 
 
 def label_stream(records: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def land_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     """Append each batch of records to the landing table; the checkpoint remembers what has been read."""
     def append(batch: DataFrame, batch_id: int) -> None:
         # A batch that is retried replaces its own folder.
-        land(batch, f"{path}/batch={batch_id}")
+        by_bucket(batch).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
     return (
         records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

@@ -105,14 +105,10 @@ def test_csv_round_trip(spark, tmp_path):
     assert {r["keyword"] for r in rows} == {'say "hi", you', " padded ", "plain"}
     assert {r["collected_at"] for r in rows} == {"2024-01-01T10:00:00.500000"} and {r["cluster_id"] for r in rows} == {""}
     assert not files.write_csv(df.limit(0), str(tmp_path / "none")) and not os.path.exists(tmp_path / "none")
-    assert files.write_csv_per_root(df, str(tmp_path / "roots")) and os.path.isdir(tmp_path / "roots" / "root=scissor-lift")
-
-
-def test_landing_replaces_only_its_roots(spark, tmp_path):
-    path = str(tmp_path / "landed")
-    files.land(keyword_frame(spark, ["a1", "a2"], root="a").union(keyword_frame(spark, ["b1"], root="b")), path)
-    files.land(keyword_frame(spark, ["a3"], root="a"), path)
-    assert sorted(r.keyword for r in spark.read.parquet(path).collect()) == ["a3", "b1"]
+    per_root = str(tmp_path / "roots")
+    assert files.write_csv_per_root(df, per_root) and not files.write_csv_per_root(df.limit(0), str(tmp_path / "no_roots"))
+    assert [r.keyword for r in files.root_rows(spark, per_root, "scissor lift", ["extra"]).collect()] == ['say "hi", you', " padded ", "plain"]
+    assert files.root_rows(spark, per_root, "other").count() == 0
 
 
 def test_streamed_labels_equal_batch_labels(spark, tmp_path):
@@ -121,7 +117,7 @@ def test_streamed_labels_equal_batch_labels(spark, tmp_path):
     df.write.parquet(source)
     stream = label_stream(spark.readStream.schema(df.schema).parquet(source))
     land_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
-    got = spark.read.parquet(*glob.glob(str(tmp_path / "out" / "batch=*"))).select("keyword", "keyword_type", "page_type")
+    got = spark.read.parquet(str(tmp_path / "out")).select("keyword", "keyword_type", "page_type")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, label_stream(df).select("keyword", "keyword_type", "page_type").collect()))
 
 
@@ -131,7 +127,7 @@ def test_whole_run(spark, tmp_path):
     roots = spark.createDataFrame([("scissor lift", 0)], "root_keyword string, position int")
     final = mine(spark, rows, roots, str(tmp_path), "2024-01-01 00:00:00")
     assert final.count() == 3 and {r.source for r in final.collect()} == {"bing_suggest|google_suggest"}
-    report = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{tmp_path}/reports/root=scissor-lift/*.txt")))
+    report = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{tmp_path}/reports/bucket=*/*.txt")))
     lines = report.split("\n")
     assert lines[:3] == ["=" * 60, "  SEO 关键词采集摘要报告", "  词根: scissor lift"]
     assert "  原始关键词:      10 条" in lines and "  去重率:      60.0%" in lines

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
+from lexmine import rules
+
 COLLECTED_AT = "2024-01-01 00:00:00"
 
 _ALPHA = [("google", "google_suggest_alpha", "", c) for c in "abcdefghijklmnopqrstuvwxyz"]
-_GOOGLE = [
-    "rates", "maker", "plant tour", "distributor", "bespoke", "private label", "bulk order", "data sheet", "in stock",
-    "estimate", "running cost", "purchase order", "europe", "how do", "where to", "kinds", "recommended", "ranking", "versus",
-    "instead of", "tested",
-]
-_BING = [
-    "rates", "maker", "distributor", "plant tour", "bespoke", "private label", "purchase order", "in stock", "data sheet",
-    "estimate", "europe", "why", "when to", "recommended", "versus", "tested",
-]
-_YOUTUBE = ["why", "unboxing", "disassembly", "opinion", "walkthrough", "versus", "rates", "plant visit", "maker"]
-_AMAZON = ["rates", "for workshop", "commercial", "high capacity", "battery", "pneumatic", "data sheet", "distributor"]
+# The tag of an added phrase on each channel that suggests.
+_TAGS = {
+    "google": "google_suggest_modifier", "bing": "bing_suggest_ext", "youtube": "youtube_suggest_ext", "amazon": "amazon_suggest_ext",
+}
+
+
+def _of_rules(per_rule: int = 4) -> list[tuple[str, str, str, str]]:
+    """A few plain phrases of every rule, those of least checksum, each on a channel that its checksum deals it to."""
+    every = [rules.LOW_INTENT_FIRST, *rules.TYPE_RULES, *rules.INTENT_RULES, *rules.VALUE_RULES]
+    dealt = {}
+    for rule in every:
+        phrases = [p for p in (*rule.words, *rule.starts, *rule.contains, *rule.ends, *rule.dotted) if p.replace(" ", "").isalpha()]
+        for phrase in sorted(set(phrases), key=lambda p: crc32(p.encode()))[:per_rule]:
+            channel = list(_TAGS)[crc32(phrase[::-1].encode()) % len(_TAGS)]
+            dealt[channel, phrase] = (channel, _TAGS[channel], "", phrase)
+    return list(dealt.values())
+
+
 # Two or more added words, so that the phrase rules are reached: (before, after).
 _PAIRS = [
     ("brand new", "platform"), ("trademark", "logo sticker"), ("", "factory direct price list"),
@@ -38,16 +49,10 @@ _PAIRS = [
 ]
 
 SUGGESTIONS: list[tuple[str, str, str, str]] = [
-    ("google", "google_suggest", "", ""),
+    *[(channel, f"{channel}_suggest", "", "") for channel in _TAGS],
     *_ALPHA,
-    *[("google", "google_suggest_modifier", "", m) for m in _GOOGLE],
+    *_of_rules(),
     *[("google", "google_related_search", before, after) for before, after in _PAIRS],
-    ("bing", "bing_suggest", "", ""),
-    *[("bing", "bing_suggest_ext", "", m) for m in _BING],
-    ("youtube", "youtube_suggest", "", ""),
-    *[("youtube", "youtube_suggest_ext", "", m) for m in _YOUTUBE],
-    ("amazon", "amazon_suggest", "", ""),
-    *[("amazon", "amazon_suggest_ext", "", m) for m in _AMAZON],
 ]
 
 # Titles made from the other columns; {name} is the product name. (channel, source, SQL both engines read.)
