@@ -257,6 +257,40 @@ ALIBABA_PRODUCTS_URL = "https://www.alibaba.com/Products/"
 MADEINCHINA_URL = "https://www.made-in-china.com/multi-search/"
 REDDIT_URL = "https://www.reddit.com/"
 
+# Parameters of each endpoint in their order; QUERY stands for the request's query. Other endpoints have none.
+QUERY = "{query}"
+PARAMS = {
+    "google/suggest": {"client": "firefox", "q": QUERY, "hl": "en"},
+    "google/suggest_alpha": {"client": "firefox", "q": QUERY, "hl": "en"},
+    "google/suggest_modifier": {"client": "firefox", "q": QUERY, "hl": "en"},
+    "google/serp": {"q": QUERY, "hl": "en", "gl": "us", "num": "10"},
+    "bing/suggest": {"query": QUERY, "form": "OSJRLH"},
+    "bing/suggest_ext": {"query": QUERY, "form": "OSJRLH"},
+    "bing/serp": {"q": QUERY, "count": "10", "setlang": "en"},
+    "youtube/suggest": {"client": "youtube", "q": QUERY, "hl": "en", "ds": "yt"},
+    "youtube/suggest_ext": {"client": "youtube", "q": QUERY, "hl": "en", "ds": "yt"},
+    "youtube/serp": {"search_query": QUERY},
+    "amazon/suggest": {
+        "session-id": "000-0000000-0000000", "customer-id": "", "request-id": "auto", "page-type": "Search",
+        "lop": "en_US", "site-variant": "desktop", "client-info": "amazon-search-ui", "mid": "ATVPDKIKX0DER",
+        "alias": "aps", "b2b": "0", "fresh": "0", "ks": "80", "prefix": QUERY, "event": "onKeyPress", "limit": "11",
+        "fb": "1", "suggestion-type": "KEYWORD", "_": "1",
+    },
+    "amazon/suggest_legacy": {
+        "method": "completion", "q": QUERY, "search-alias": "aps", "client": "amazon-search-ui", "mkt": "1",
+    },
+    "amazon/suggest_ext": {
+        "session-id": "000-0000000-0000000", "prefix": QUERY, "alias": "aps", "mid": "ATVPDKIKX0DER", "limit": "11",
+        "suggestion-type": "KEYWORD",
+    },
+    "alibaba/suggest": {"keyword": QUERY, "country": "US", "lang": "en"},
+    "alibaba/search": {"fsb": "y", "IndexArea": "product_en", "keywords": QUERY, "tab": "all", "page": "1"},
+    "forum/reddit": {"q": QUERY, "sort": "relevance", "t": "all", "limit": "25", "type": "link"},
+    "forum/subreddit": {"q": QUERY, "restrict_sr": "1", "sort": "relevance", "limit": "10"},
+    "forum/quora": {"q": QUERY, "hl": "en", "num": "10"},
+    "competitor/discovery": {"q": QUERY, "hl": "en", "gl": "us", "num": "10"},
+}
+
 # Endpoints of each channel in the order in which their answers count.
 ENDPOINTS = {
     "google": ["suggest", "suggest_alpha", "suggest_modifier", "serp"],

@@ -178,6 +178,23 @@ def elements(body: Column, wanted: Iterable[Wanted] | None = None) -> Column:
     return outline(body)
 
 
+def elements_by(kind: Column, body: Column, wanted: dict[str, Iterable[Wanted]]) -> Column:
+    """Elements of pages of several kinds in one pass: ``wanted`` names those of each kind; other rows give NULL."""
+    by_kind: dict[str, dict[str | None, list[Wanted]]] = {}
+    for name, tests in wanted.items():
+        by_tag = by_kind.setdefault(name, {})
+        for rule in tests:
+            by_tag.setdefault(rule[0], []).append(rule)
+
+    @F.arrow_udf(ELEMENT_TYPE)
+    def outline(kinds: pa.Array, pages: pa.Array) -> pa.Array:
+        both = zip(kinds.to_pylist(), pages.to_pylist())
+        return pa.array([_outline(page, by_kind[k]) if k in by_kind else None for k, page in both], type=_ARROW_TYPE)
+
+    # Bodies that are no pages do not travel to the worker.
+    return outline(kind, F.when(kind.isin(*by_kind), body))
+
+
 # ---- selectors ----------------------------------------------------------------------------------
 
 Test = Callable[[Column], Column]

@@ -35,30 +35,40 @@ def _posts(body: Column) -> Column:
     return F.filter(posts, lambda p: p.isNotNull())
 
 
-def reddit_posts(resolved: DataFrame, strict: bool = True) -> DataFrame:
-    """Post titles of the search over everything, each followed by the questions in its text."""
-    pages = endpoint_rows(resolved, "forum", "reddit")
-
+def reddit_rows(body: Column, strict: bool = True) -> Column:
     def rows(post: Column) -> Column:
         title, text = F.coalesce(post["title"], F.lit("")), F.coalesce(post["selftext"], F.lit(""))
         titled = row(title, "reddit_post_title", title, F.substring(text, 1, DESCRIPTION_LENGTH), post["url"])
         asked = F.transform(question_sentences(text, strict), lambda s: row(s, "reddit_question"))
         return F.concat(F.filter(F.array(titled), lambda r: r["keyword"] != ""), asked)
 
-    return emit(pages, F.flatten(F.transform(_posts(F.col("body")), rows)))
+    return F.flatten(F.transform(_posts(body), rows))
+
+
+def reddit_posts(resolved: DataFrame, strict: bool = True) -> DataFrame:
+    """Post titles of the search over everything, each followed by the questions in its text."""
+    return emit(endpoint_rows(resolved, "forum", "reddit"), reddit_rows(F.col("body"), strict))
+
+
+def subreddit_rows(body: Column, url: Column) -> Column:
+    tag = F.concat(F.lit("reddit_"), F.regexp_extract(url, r"/r/([^/]+)/", 1))
+    titles = F.transform(_posts(body), lambda p: F.coalesce(p["title"], F.lit("")))
+    return F.transform(F.filter(titles, lambda t: t != ""), lambda t: row(t, tag, t))
 
 
 def subreddit_posts(resolved: DataFrame) -> DataFrame:
     """Post titles of each subreddit search, where the search over everything was answered."""
-    subreddit = F.regexp_extract("url", r"/r/([^/]+)/", 1)
-    tag = F.concat(F.lit("reddit_"), subreddit)
-    titles = F.transform(_posts(F.col("body")), lambda p: F.coalesce(p["title"], F.lit("")))
-    found = emit(endpoint_rows(resolved, "forum", "subreddit"), F.transform(F.filter(titles, lambda t: t != ""), lambda t: row(t, tag, t)))
+    found = emit(endpoint_rows(resolved, "forum", "subreddit"), subreddit_rows(F.col("body"), F.col("url")))
     return salted_filter(found, endpoint_rows(resolved, "forum", "reddit"), ["root_keyword"], "keyword")
 
 
+QUORA_PARTS = [BLOCK, HEADING, PLAIN_SNIPPET, LINK]
+
+
+def quora_rows(els: Column) -> Column:
+    blocks = result_blocks(els, PLAIN_SNIPPET)
+    return titled_rows(F.filter(blocks, lambda b: F.contains(F.lower(b["url"]), F.lit("quora.com"))), "quora_question")
+
+
 def quora_questions(resolved: DataFrame) -> DataFrame:
-    pages = with_elements(endpoint_rows(resolved, "forum", "quora"), BLOCK, HEADING, PLAIN_SNIPPET, LINK)
-    blocks = result_blocks(F.col("els"), PLAIN_SNIPPET)
-    quora = F.filter(blocks, lambda b: F.contains(F.lower(b["url"]), F.lit("quora.com")))
-    return emit(pages, titled_rows(quora, "quora_question"))
+    return emit(with_elements(endpoint_rows(resolved, "forum", "quora"), *QUORA_PARTS), quora_rows(F.col("els")))

@@ -156,6 +156,22 @@ def numbered(requests: DataFrame) -> DataFrame:
     )
 
 
+def params(requests: DataFrame) -> DataFrame:
+    """Add ``params``, the parameters of each request by name in their order, and ``request_url`` with them in it."""
+    def of(values: dict[str, str]) -> Column:
+        pairs = [(F.lit(k), F.col("query") if v == rules.QUERY else F.lit(v)) for k, v in values.items()]
+        return F.array(*[F.struct(k.alias("name"), v.alias("value")) for k, v in pairs])
+
+    name = F.concat_ws("/", "channel", "endpoint")
+    found = F.lit(None).cast("array<struct<name:string,value:string>>")
+    for key, values in rules.PARAMS.items():
+        found = F.when(name == key, of(values)).otherwise(found)
+    listed = F.transform("_params", lambda p: F.concat(p["name"], F.lit("="), quote_plus(p["value"])))
+    with_pairs = requests.withColumn("_params", found)
+    made = F.when(F.col("_params").isNull(), F.col("url")).otherwise(F.concat("url", F.lit("?"), F.array_join(listed, "&")))
+    return with_pairs.select(*requests.columns, F.map_from_entries("_params").alias("params"), made.alias("request_url"))
+
+
 def frontier(roots: DataFrame, domains: list[str] | None = None, switches: dict[str, bool] | None = None) -> DataFrame:
     """All requests of all roots."""
     pages = expand_pages(roots)

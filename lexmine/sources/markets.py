@@ -24,6 +24,10 @@ RELATED_BOX = either(is_a("div", cls="related-search"), is_a("div", cls="hot-sea
 CATEGORY_BOX = either(is_a("ul", cls="category-list"), is_a("div", cls="filter-item"))
 
 
+ALIBABA_PARTS = [GALLERY, CARD, CARD_BOX, NORMAL, SCRIPT, is_a("span")]
+MADEINCHINA_PARTS = [PRODUCT_H2, PRODUCT_BOX, PRODUCT_SPAN, PRODUCT_LINK, RELATED_BOX, CATEGORY_BOX, is_a("a")]
+
+
 def longer(found: Column, n: int) -> Column:
     return F.filter(texts(found), lambda t: F.length(t) > n)
 
@@ -45,45 +49,52 @@ def script_names(els: Column) -> Column:
     return F.filter(F.flatten(F.transform(scripts, names)), lambda t: t.isNotNull() & (t != ""))
 
 
-def alibaba_titles(resolved: DataFrame) -> DataFrame:
+def alibaba_title_rows(els: Column) -> Column:
     """Product titles, one pass per place: an element found in two places counts twice. Then script names."""
-    pages = with_elements(
-        endpoint_rows(resolved, "alibaba", "search"), GALLERY, CARD, CARD_BOX, NORMAL, SCRIPT, is_a("span")
-    )
-    els = F.col("els")
     places = [GALLERY, CARD, within(els, CARD_BOX, is_a("span")), NORMAL]
     found = F.concat(*[longer(select(els, place), 5) for place in places])
-    return emit(pages, F.concat(
+    return F.concat(
         F.transform(found, lambda t: row(t, "alibaba_product_title", url=rules.ALIBABA_SEARCH_URL)),
         F.transform(script_names(els), lambda t: row(t, "alibaba_jsonld")),
-    ))
+    )
+
+
+def alibaba_titles(resolved: DataFrame) -> DataFrame:
+    return emit(with_elements(endpoint_rows(resolved, "alibaba", "search"), *ALIBABA_PARTS), alibaba_title_rows(F.col("els")))
+
+
+def alibaba_fallback_rows(els: Column) -> Column:
+    found = F.filter(texts(select(els, either(GALLERY, CARD))), lambda t: t != "")
+    return F.transform(found, lambda t: row(t, "alibaba_title_html"))
 
 
 def alibaba_fallback_titles(resolved: DataFrame) -> DataFrame:
     """Titles of the products page, where the suggestion payload did not parse."""
     pages = with_elements(endpoint_rows(resolved, "alibaba", "products"), GALLERY, CARD)
-    found = F.filter(texts(select(F.col("els"), either(GALLERY, CARD))), lambda t: t != "")
-    records = emit(pages, F.transform(found, lambda t: row(t, "alibaba_title_html")))
+    records = emit(pages, alibaba_fallback_rows(F.col("els")))
     return used_fallback(records, resolved, "alibaba", "suggest", when_missing=False)
 
 
-def madeinchina_titles(resolved: DataFrame) -> DataFrame:
-    """Titles of both pages, and related and category links of the first. The second counts only with the first."""
-    tests = (PRODUCT_H2, PRODUCT_BOX, PRODUCT_SPAN, PRODUCT_LINK, RELATED_BOX, CATEGORY_BOX, is_a("a"))
-    els, link = F.col("els"), is_a("a")
+def madeinchina_rows(els: Column, url: Column | None) -> Column:
+    """Titles of a page; with its url, that is of the first page, the related and category links too."""
+    link = is_a("a")
     places = [PRODUCT_H2, within(els, PRODUCT_BOX, link), PRODUCT_SPAN, PRODUCT_LINK]
     found = F.concat(*[longer(select(els, place), 5) for place in places])
+    titles = F.transform(found, lambda t: row(t, "madeinchina_product_title", url=url))
+    if url is None:
+        return titles
     related = F.filter(texts(select(els, within(els, RELATED_BOX, link))), lambda t: t != "")
     category = longer(select(els, within(els, CATEGORY_BOX, link)), 3)
-    links = F.concat(
-        F.transform(related, lambda t: row(t, "madeinchina_related")),
+    return F.concat(
+        titles, F.transform(related, lambda t: row(t, "madeinchina_related")),
         F.transform(category, lambda t: row(t, "madeinchina_category")),
     )
 
-    def titles(url: Column | None) -> Column:
-        return F.transform(found, lambda t: row(t, "madeinchina_product_title", url=url))
 
+def madeinchina_titles(resolved: DataFrame) -> DataFrame:
+    """Titles of both pages, and related and category links of the first. The second counts only with the first."""
+    els = F.col("els")
     page1, page2 = (endpoint_rows(resolved, "madeinchina", e) for e in ("search", "search_page2"))
-    second = emit(with_elements(page2, *tests), titles(None))
-    return emit(with_elements(page1, *tests), F.concat(titles(F.col("url")), links)).unionByName(
+    second = emit(with_elements(page2, *MADEINCHINA_PARTS), madeinchina_rows(els, None))
+    return emit(with_elements(page1, *MADEINCHINA_PARTS), madeinchina_rows(els, F.col("url"))).unionByName(
         salted_filter(second, page1, ["root_keyword"], "keyword"))

@@ -55,16 +55,6 @@ def fallback_roots(resolved: DataFrame, channel: str, primary: str, when_missing
     return main.where(good if when_missing else ~good).select("root_keyword"), not when_missing
 
 
-def fallback_merge(resolved: DataFrame, channel: str, primary: str, fallback: str, when_missing: bool) -> DataFrame:
-    """Good primary answers, plus fallback answers of roots whose primary did not parse.
-
-    Extractors filter their narrow records by ``fallback_roots`` instead, so that no bodies are shuffled.
-    """
-    main, spare = endpoint_rows(resolved, channel, primary), endpoint_rows(resolved, channel, fallback)
-    used = salted_filter(spare, *_split(fallback_roots(resolved, channel, primary, when_missing), "body"))
-    return main.where(is_json_object(F.col("body"))).unionByName(used.select(*main.columns))
-
-
 def used_fallback(records: DataFrame, resolved: DataFrame, channel: str, primary: str, when_missing: bool) -> DataFrame:
     """Records of a fallback endpoint, kept for the roots that fall back."""
     return salted_filter(records, *_split(fallback_roots(resolved, channel, primary, when_missing), "keyword"))

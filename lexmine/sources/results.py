@@ -22,8 +22,12 @@ PLAIN_SNIPPET = is_a("div", cls="VwiC3b")
 LINK = is_a("a", attr="href")
 SPAN = is_a("span")
 
+GOOGLE_PARTS = [*RELATED, *QUESTIONS, BLOCK, HEADING, SNIPPET, LINK, SPAN]
+
 BING_BLOCK, BING_RELATED = is_a("li", cls="b_algo"), either(is_a("li", cls="b_rs"), is_a("div", cls="b_rs"))
 
+BING_PARTS = [BING_BLOCK, BING_RELATED, is_a("h2"), is_a("div", cls="b_caption"), is_a("p"), is_a("a")]
+
 VIDEO_DATA = r"(?s)var ytInitialData = (\{.*?\});</script>"
 VIDEO_SCHEMA = """struct<contents:struct<twoColumnSearchResultsRenderer:struct<primaryContents:struct<
   sectionListRenderer:struct<contents:array<struct<itemSectionRenderer:struct<contents:array<struct<
@@ -69,24 +73,21 @@ def titled_rows(blocks: Column, source: str) -> Column:
     return F.transform(found, lambda b: row(b["title"], source, b["title"], b["description"], b["url"]))
 
 
-def google_results(resolved: DataFrame) -> DataFrame:
-    pages = with_elements(
-        endpoint_rows(resolved, "google", "serp"), *RELATED, *QUESTIONS, BLOCK, HEADING, SNIPPET, LINK, SPAN
-    )
-    els = F.col("els")
-    return emit(pages, F.concat(
+def google_result_rows(els: Column, root: Column) -> Column:
+    return F.concat(
         F.transform(related_texts(els), lambda t: row(t, "google_related_search")),
-        F.transform(question_texts(els, F.col("root_keyword")), lambda t: row(t, "google_paa")),
+        F.transform(question_texts(els, root), lambda t: row(t, "google_paa")),
         titled_rows(result_blocks(els), "google_serp_title"),
-    ))
+    )
 
 
-def bing_results(resolved: DataFrame) -> DataFrame:
+def google_results(resolved: DataFrame) -> DataFrame:
+    pages = with_elements(endpoint_rows(resolved, "google", "serp"), *GOOGLE_PARTS)
+    return emit(pages, google_result_rows(F.col("els"), F.col("root_keyword")))
+
+
+def bing_result_rows(els: Column) -> Column:
     h2, caption = is_a("h2"), is_a("div", cls="b_caption")
-    pages = with_elements(
-        endpoint_rows(resolved, "bing", "serp"), BING_BLOCK, BING_RELATED, h2, caption, is_a("p"), is_a("a")
-    )
-    els = F.col("els")
     title, snippet = within(els, h2, is_a("a")), within(els, caption, is_a("p"))
     blocks = F.transform(select(els, BING_BLOCK), lambda b: F.struct(
         text_or_empty(first(els, title, b)).alias("title"),
@@ -94,15 +95,16 @@ def bing_results(resolved: DataFrame) -> DataFrame:
         F.coalesce(first(els, title, b)["attrs"]["href"], F.lit("")).alias("url"),
     ))
     related = F.filter(texts(select(els, within(els, BING_RELATED, is_a("a")))), lambda t: t != "")
-    return emit(pages, F.concat(
-        titled_rows(blocks, "bing_serp_title"), F.transform(related, lambda t: row(t, "bing_related"))
-    ))
+    return F.concat(titled_rows(blocks, "bing_serp_title"), F.transform(related, lambda t: row(t, "bing_related")))
 
 
-def youtube_results(resolved: DataFrame) -> DataFrame:
+def bing_results(resolved: DataFrame) -> DataFrame:
+    return emit(with_elements(endpoint_rows(resolved, "bing", "serp"), *BING_PARTS), bing_result_rows(F.col("els")))
+
+
+def youtube_result_rows(body: Column) -> Column:
     """Videos in the page's embedded data; a missing level gives no row."""
-    pages = endpoint_rows(resolved, "youtube", "serp")
-    data = F.from_json(F.regexp_extract("body", VIDEO_DATA, 1), VIDEO_SCHEMA)
+    data = F.from_json(F.regexp_extract(body, VIDEO_DATA, 1), VIDEO_SCHEMA)
     sections = data["contents"]["twoColumnSearchResultsRenderer"]["primaryContents"]["sectionListRenderer"]["contents"]
     none = F.array().cast("array<string>")
 
@@ -115,4 +117,8 @@ def youtube_results(resolved: DataFrame) -> DataFrame:
         return row(title, "youtube_serp", title, url=watch)
 
     listed = F.filter(F.transform(sections, lambda s: s["itemSectionRenderer"]["contents"]), lambda c: c.isNotNull())
-    return emit(pages, F.filter(F.transform(F.flatten(listed), video), lambda r: r["keyword"] != ""))
+    return F.filter(F.transform(F.flatten(listed), video), lambda r: r["keyword"] != "")
+
+
+def youtube_results(resolved: DataFrame) -> DataFrame:
+    return emit(endpoint_rows(resolved, "youtube", "serp"), youtube_result_rows(F.col("body")))

@@ -71,8 +71,11 @@ def anchors(els: Column, root: Column) -> Column:
         found, lambda w: F.contains(F.lower(e["text"]), w)))
 
 
+PAGE_PARTS = [TITLE, META, H1, H2, LINK]
+
+
 def with_page_elements(pages: DataFrame) -> DataFrame:
-    return with_elements(pages, TITLE, META, H1, H2, LINK)
+    return with_elements(pages, *PAGE_PARTS)
 
 
 def heading_rows(els: Column, title: Column, url: Column) -> Column:
@@ -102,13 +105,15 @@ def anchor_rows(els: Column, root: Column, url: Column) -> Column:
         e["text"], tag_of(url, ":anchor"), url=urls.join(url, e["attrs"]["href"])))
 
 
+def page_record_rows(els: Column, title: Column, url: Column, root: Column) -> Column:
+    return F.concat(
+        title_rows(title, url), description_rows(page_description(els), url), heading_rows(els, title, url),
+        slug_rows(url), anchor_rows(els, root, url),
+    )
+
+
 def page_records(resolved: DataFrame) -> DataFrame:
     """All six kinds of records of each competitor page."""
     pages = with_page_elements(endpoint_rows(resolved, "competitor", "page"))
-    els, url = F.col("els"), F.col("url")
-    pages = pages.withColumn("page_title", page_title(els))
-    title = F.col("page_title")
-    return emit(pages, F.concat(
-        title_rows(title, url), description_rows(page_description(els), url), heading_rows(els, title, url),
-        slug_rows(url), anchor_rows(els, F.col("root_keyword"), url),
-    ))
+    pages = pages.withColumn("page_title", page_title(F.col("els")))
+    return emit(pages, page_record_rows(F.col("els"), F.col("page_title"), F.col("url"), F.col("root_keyword")))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from workload import clustering, labelling, payloads, reporting, requesting  # noqa: F401
+from workload import clustering, labelling, payloads, reporting, requesting, running  # noqa: F401
 from workload.registry import EXPECTED, QUERIES  # noqa: F401

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexmine.plans.collection import kept, route
 from lexmine.sources import frontier, responses
+from lexmine.session import cut_lineage
 from lexmine.sources.gate import record_gate
 from workload import sql_base as s
 from workload.captures import spread, table
@@ -202,20 +204,21 @@ UNION ALL
 SELECT root_keyword, 'alibaba', CASE primary_state WHEN 'good' THEN 'suggest' ELSE 'products' END
 FROM calls WHERE primary_state <> 'none'""")
 def fallback_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts up to size 20 have a good primary answer, up to 35 a malformed one, larger ones none."""
+    """Parts up to size 20 have a good primary answer, up to 35 a malformed one, larger ones none. Which answers count is
+    seen from the records that the extraction keeps."""
     part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
-    root = F.concat_ws(" ", F.lower("p_name"), F.col("p_partkey").cast("string")).alias("root_keyword")
-    good = F.to_json(F.struct(F.col("p_name").alias("value")))
-    body = F.when(F.col("p_size") <= 20, good).otherwise(F.concat(F.lit("<html>"), "p_name"))
-
-    def merged(channel: str, primary: str, spare: str, when_missing: bool) -> DataFrame:
-        first = part.where(F.col("p_size") <= 35).select(root, F.lit(primary).alias("endpoint"), body.alias("body"))
-        second = part.select(root, F.lit(spare).alias("endpoint"), F.col("p_name").alias("body"))
-        every = first.unionByName(second).withColumn("channel", F.lit(channel))
-        return responses.fallback_merge(every, channel, primary, spare, when_missing)
-
-    both = merged("amazon", "suggest", "suggest_legacy", True).unionByName(merged("alibaba", "suggest", "products", False))
-    return both.select("root_keyword", "channel", "endpoint")
+    root = F.concat_ws(" ", F.lower("p_name"), F.col("p_partkey").cast("string"))
+    amazon, legacy = F.lit('{"suggestions":[{"value":"found"}]}'), F.lit('["q",["found"]]')
+    alibaba, products = F.lit('{"result":{"list":[{"keyword":"found"}]}}'), F.lit('<h2 class="search-card-e-title">found</h2>')
+    answers = [("amazon", "suggest", amazon), ("amazon", "suggest_legacy", legacy), ("alibaba", "suggest", alibaba), ("alibaba", "products", products)]
+    calls = F.array(*[F.struct(
+        F.lit(channel).alias("channel"), F.lit(endpoint).alias("endpoint"),
+        (body if endpoint != "suggest" else F.when(F.col("p_size") <= 20, body).when(F.col("p_size") <= 35, F.lit("<html>"))).alias("body"),
+    ) for channel, endpoint, body in answers])
+    every = part.select(
+        root.alias("root_keyword"), F.col("p_partkey").cast("bigint").alias("seq"), F.inline(calls)).where(F.col("body").isNotNull())
+    every = every.withColumn("request_id", F.concat_ws("/", "channel", "endpoint", "root_keyword")).withColumn("url", F.lit(""))
+    return kept(cut_lineage(route(every))).select("root_keyword", "channel", "endpoint")
 
 
 @query("record_gate", f"""
