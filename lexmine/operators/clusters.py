@@ -23,6 +23,15 @@ def component_count(n: int, clusters: int, wanted: int = rules.N_COMPONENTS) ->
     return min(wanted, n - 1, clusters)
 
 
+def limits(labelled: DataFrame, wanted: int = rules.N_CLUSTERS, wanted_components: int = rules.N_COMPONENTS) -> DataFrame:
+    """root_keyword, rows, clusters, components of every root; a small root has one cluster and no components."""
+    n = F.col("rows")
+    clusters = F.when(is_small(n), 1).otherwise(F.least(F.lit(wanted), n - 1, F.lit(rules.MAX_CLUSTERS)))
+    components = F.when(is_small(n), 0).otherwise(F.least(F.lit(wanted_components), n - 1, F.col("clusters")))
+    sizes = labelled.groupBy(ROOT).agg(F.count(F.lit(1)).alias("rows"))
+    return sizes.withColumn("clusters", clusters.cast("int")).withColumn("components", components.cast("int"))
+
+
 def is_small(rows: Column) -> Column:
     return rows < MIN_ROWS
 

@@ -23,6 +23,11 @@ def value_order(value: Column) -> Column:
     return order.when(value == rules.LOW_VALUE, 2).otherwise(3)
 
 
+def map_order() -> list[Column | str]:
+    """The order of the final map, which tells all its rows apart."""
+    return [value_order(F.col("commercial_value")), "keyword_type", "keyword", "root_keyword"]
+
+
 def final_keyword_map(labelled: DataFrame, include_low: bool = True, sort: bool = True) -> DataFrame:
     """Everything but low-intent keywords, by value, type and keyword.
 
@@ -33,7 +38,7 @@ def final_keyword_map(labelled: DataFrame, include_low: bool = True, sort: bool
         kept = kept.where(F.col("commercial_value") != rules.LOW_VALUE)
     if not sort:
         return kept
-    return kept.orderBy(value_order(F.col("commercial_value")), "keyword_type", "keyword", "root_keyword")
+    return kept.orderBy(*map_order())
 
 
 def cluster(labelled: DataFrame, **settings) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmine.operators.reports import ROOT, global_report_lines, report_lines
-from lexmine.plans.analysis import analyze, cluster, final_keyword_map
+from lexmine.plans.analysis import analyze, cluster, final_keyword_map, map_order
 from lexmine.plans.collection import extract_all
 from lexmine.plans.ledger import CLEARED, EXPORTED, LANDED, Ledger, pending
 from lexmine.schemas import RECORDS
@@ -48,7 +48,7 @@ def mine(
         labelled = table(analyze(records), f"{tables}/labelled")
         clustered = table(cluster(labelled), f"{tables}/clustered")
         export_per_root(records, labelled, clustered, f"{folder}/per_root")
-        export_all(records, labelled, clustered, final_keyword_map(labelled), folder)
+        export_all(records, labelled, clustered, final_keyword_map(labelled, sort=False), map_order(), folder)
         write_root_reports(report_lines(records, labelled, clustered, generated_at), f"{folder}/reports")
         lines = global_report_lines(records, labelled, clustered, roots, generated_at)
         write_global_report(lines, f"{folder}/summary_report")

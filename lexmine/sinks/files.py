@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from lexmine import rules
+from lexmine.operators.ordered import with_positions
 from lexmine.sinks import versions
 from lexmine.sinks.landing import BUCKETS, bucket_number, bucket_of, by_bucket
 
@@ -49,6 +50,23 @@ def _written(rows: DataFrame, path: str, *by: str) -> bool:
     return seen.get["n"] > 0
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """root_keyword, slug and the CSV text of every row, as the exports write it."""
+    out = conform(df, "seq")
+    return out.select("root_keyword", slug(F.col("root_keyword")).alias("slug"), F.to_csv(F.struct(*out.columns), CSV_OPTIONS).alias("line"))
+
+
+def write_ordered_csv(df: DataFrame, path: str, order: list[Column | str], rows_per_part: int = 1_000_000) -> bool:
+    """A CSV export in a total order: row n is in the folder ``part=<(n - 1) / rows_per_part>``, parts named in order.
+
+    Every folder has one file of at most ``rows_per_part`` rows, in order.
+    """
+    numbered = with_positions(df, *order)
+    part = F.lpad(F.expr(f"(position - 1) div {int(rows_per_part)}").cast("string"), 9, "0")
+    dealt = numbered.withColumn("part", part).repartition("part").sortWithinPartitions("part", "position")
+    return _written(conform(dealt, "seq", "position"), path, "part")
+
+
 def write_csv(df: DataFrame, path: str) -> bool:
     """One CSV export; an empty frame writes nothing."""
     return _written(conform(df, "seq"), path)
@@ -81,12 +99,13 @@ def export_per_root(records: DataFrame, labelled: DataFrame, clustered: DataFram
 
 
 def export_all(
-    records: DataFrame, labelled: DataFrame, clustered: DataFrame, final_map: DataFrame, folder: str
+    records: DataFrame, labelled: DataFrame, clustered: DataFrame, final_map: DataFrame, map_order: list[Column | str], folder: str
 ) -> None:
+    """``final_map`` needs no order; its export is written in ``map_order``."""
     write_csv(records, f"{folder}/all_keywords")
     write_csv(labelled, f"{folder}/all_keywords_clean")
     write_csv(clustered, f"{folder}/all_keyword_clusters")
-    write_csv(final_map, f"{folder}/final_keyword_map")
+    write_ordered_csv(final_map, f"{folder}/final_keyword_map", map_order)
 
 
 def write_root_reports(lines: DataFrame, path: str, buckets: int = BUCKETS) -> None:

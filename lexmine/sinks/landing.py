@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -60,6 +61,44 @@ def read(spark: SparkSession, path: str, schema: StructType, roots: list[str] |
     return rows if roots is None else rows.where(F.col(ROOT).isin(roots))
 
 
+def _entries(spark: SparkSession, target: str, folder: str, buckets: int) -> DataFrame:
+    """Manifest rows of a folder, from its root column alone."""
+    written = spark.read.schema(f"{ROOT} string, bucket int").parquet(target)
+    entries = written.withColumn("file", F.input_file_name()).groupBy("bucket", ROOT).agg(
+        F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("rows"))
+    return entries.select("bucket", ROOT, "files", "rows", F.lit(folder).alias("folder"), F.lit(buckets).alias("buckets"))
+
+
+def _begin(spark: SparkSession, path: str, buckets: int) -> tuple[int, DataFrame, str]:
+    """The latest manifest's number, the manifest, and a new folder's name."""
+    number, before = versions.latest(spark, f"{path}/manifest"), manifest(spark, path)
+    other = before.where(F.col("buckets") != buckets).first()
+    if other is not None:
+        raise ValueError(f"{path} has {other['buckets']} buckets")
+    return number, before, f"data/{uuid.uuid4().hex}"
+
+
+def rewrite(incoming: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> list[int]:
+    """Merge rows into the table: ``merge(incoming, old)`` replaces the buckets of the incoming rows' roots.
+
+    ``incoming`` is read twice and should be written already. Other buckets are neither read nor written.
+    """
+    spark = incoming.sparkSession
+    number, before, folder = _begin(spark, path, buckets)
+    bucket = bucket_of(F.col(ROOT), buckets)
+    touched = sorted(r[0] for r in incoming.select(bucket).distinct().collect())  # at most one number per bucket
+    if not touched:
+        return []
+    places = _places(before.where(F.col("bucket").isin(touched)))
+    old = spark.createDataFrame([], incoming.schema)
+    if places:
+        old = spark.read.schema(incoming.schema).parquet(*[f"{path}/{at}/bucket={n}" for n, at in sorted(places.items())])
+    by_bucket(merge(incoming, old), buckets).write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    untouched = before.where(~F.col("bucket").isin(touched))
+    versions.publish(untouched.unionByName(_entries(spark, f"{path}/{folder}", folder, buckets)), f"{path}/manifest", number)
+    return touched
+
+
 def land(records: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Replace the landed rows of the roots in ``records``; return the new manifest.
 
@@ -67,12 +106,8 @@ def land(records: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     root of ``records`` are not touched. Nothing changes for readers before the manifest is published, so a run that
     dies on the way can simply be repeated. Roots without a record have no entry.
     """
-    spark, folder = records.sparkSession, f"data/{uuid.uuid4().hex}"
-    number = versions.latest(spark, f"{path}/manifest")
-    before = manifest(spark, path)
-    other = before.where(F.col("buckets") != buckets).first()
-    if other is not None:
-        raise ValueError(f"{path} has {other['buckets']} buckets")
+    spark = records.sparkSession
+    number, before, folder = _begin(spark, path, buckets)
     target = f"{path}/{folder}"
     by_bucket(records, buckets).write.partitionBy("bucket").parquet(target)
     touched = [int(name.split("=")[1]) for name in versions.children(spark, target) if name.startswith("bucket=")]
@@ -86,12 +121,8 @@ def land(records: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
         kept = spark.read.schema(schema).parquet(*[f"{path}/{at}/bucket={n}" for n, at in sorted(places.items())])
         kept = kept.join(fresh.select(ROOT).distinct(), ROOT, "left_anti").select(*schema.names)
         by_bucket(kept, buckets).write.mode("append").partitionBy("bucket").parquet(target)
-    written = spark.read.schema(f"{ROOT} string, bucket int").parquet(target)
-    entries = written.withColumn("file", F.input_file_name()).groupBy("bucket", ROOT).agg(
-        F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("rows"))
-    entries = entries.select("bucket", ROOT, "files", "rows", F.lit(folder).alias("folder"), F.lit(buckets).alias("buckets"))
     untouched = before.where(~F.col("bucket").isin(touched))
-    versions.publish(untouched.unionByName(entries), f"{path}/manifest", number)
+    versions.publish(untouched.unionByName(_entries(spark, target, folder, buckets)), f"{path}/manifest", number)
     return manifest(spark, path)
 
 

@@ -7,12 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmine import rules
+from lexmine.operators import clusters, roots as root_table
+from lexmine.operators.cleaning import clean
+from lexmine.operators.increment import CleanedTable
+from lexmine.operators.ordered import with_positions
 from lexmine.plans import crawl, ledger
+from lexmine.plans.analysis import analyze, final_keyword_map, map_order
 from lexmine.plans.collection import extract
 from lexmine.session import cut_lineage, shared_folder
-from lexmine.sinks import landing
+from lexmine.sinks import files, landing
 from lexmine.sources import attempts, frontier
-from workload.captures import spread, table
+from workload import sql_base as s
+from workload.captures import records, spread, table
+from workload.labelling import RECORD
 from workload.registry import query
 from workload.requesting import QUOTED, ROOTS_SQL, roots
 from workload.templates import COLLECTED_AT
@@ -202,3 +209,77 @@ def extract_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = found.records.withColumn("kind", F.lit("record")).withColumn("reason", F.lit("")).select(*columns)
     rejected = found.rejected.withColumn("kind", F.lit("rejected")).withColumn("keyword", F.lit("")).withColumn("source", F.lit(""))
     return records.unionByName(rejected.select(*columns))
+
+
+@query("classify_roots", f"""WITH {s.clean_cte()},
+heads AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS one, CAST(p_partkey AS VARCHAR) AS two FROM part),
+root_words AS (SELECT one AS word FROM heads UNION SELECT two FROM heads),
+words AS (SELECT DISTINCT keyword, translate(keyword, 'ſı', 'si') AS m FROM cleaned),
+core AS (
+  SELECT DISTINCT keyword FROM words JOIN heads ON {s.n_words('keyword')} <= 3 AND contains(keyword, one) AND contains(keyword, two)),
+shares AS (SELECT DISTINCT keyword FROM (SELECT keyword, unnest(string_split(keyword, ' ')) AS word FROM words) JOIN root_words USING (word))
+SELECT keyword, CASE WHEN {s.is_low_first('m')} THEN 'Low Intent / Negative Keyword' WHEN keyword IN (FROM core) THEN 'Core Product Keyword'
+  ELSE coalesce({s.rule_case('m')}, CASE WHEN {s.n_words('keyword')} >= 4 THEN 'Long Tail Keyword'
+    WHEN keyword IN (FROM shares) THEN 'Core Product Keyword' ELSE 'Industrial Keyword' END) END AS keyword_type
+FROM words""")
+def classify_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different keyword against one root per part: the second word of its name and its number."""
+    part = table(spark, sf_dir, "part").select("p_name", "p_partkey")
+    given = part.select(F.concat_ws(" ", F.split("p_name", " ")[1], F.col("p_partkey").cast("string")).alias("root_keyword"))
+    return root_table.classify(cut_lineage(clean(records(spark, sf_dir)).select("keyword").distinct()), given)
+
+
+@query("clean_incremental", f"WITH {s.clean_cte()} SELECT {RECORD} FROM cleaned")
+def clean_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of records, the last first and one of them twice."""
+    every = records(spark, sf_dir)
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/cleaned-{uuid.uuid4().hex}"
+    cleaned = CleanedTable(spark, path, every.schema, BUCKETS)
+    for batch in (2, 0, 2, 1):
+        cleaned.add(every.where(F.col("seq") % 3 == batch))
+    return cleaned.keywords()
+
+
+@query("export_positions", f"""WITH {s.labelled_cte()}
+SELECT root_keyword, keyword, keyword_type, commercial_value, row_number() OVER (
+  ORDER BY CASE commercial_value WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, keyword_type, keyword, root_keyword) AS position
+FROM labelled WHERE keyword_type <> 'Low Intent / Negative Keyword'""")
+def export_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of every keyword in the ordered export of the final map."""
+    final = final_keyword_map(analyze(records(spark, sf_dir)), sort=False)
+    wanted = final.select("root_keyword", "keyword", "keyword_type", "commercial_value")
+    return with_positions(wanted, *map_order())
+
+
+@query("cluster_limits", f"""WITH {s.labelled_cte()}
+SELECT root_keyword, rows, CAST(CASE WHEN rows < 3 THEN 1 ELSE least(20, rows - 1, 50) END AS INTEGER) AS clusters,
+       CAST(CASE WHEN rows < 3 THEN 0 ELSE least(50, rows - 1, least(20, rows - 1, 50)) END AS INTEGER) AS components
+FROM (SELECT CASE WHEN length(keyword) % 7 = 0 THEN keyword ELSE root_keyword END AS root_keyword, count(*) AS rows FROM labelled GROUP BY ALL)""")
+def cluster_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every root's numbers of clusters and components; keywords of some lengths are small roots of their own."""
+    root = F.when(F.length("keyword") % 7 == 0, F.col("keyword")).otherwise(F.col("root_keyword"))
+    return clusters.limits(analyze(records(spark, sf_dir)).withColumn("root_keyword", root))
+
+
+def _cell(text: str) -> str:
+    return f"""CASE WHEN {text} = '' THEN '' WHEN regexp_matches({text}, '[",\\n]') THEN '"' || replace({text}, '"', '""') || '"' ELSE {text} END"""
+
+
+@query("csv_lines", f"""
+WITH rows AS (
+  SELECT lower(p_brand || ' ' || p_name) AS root_keyword,
+         CASE p_partkey % 4 WHEN 0 THEN 'say "' || p_name || '", ' || p_brand WHEN 1 THEN p_name || ', ' || p_type WHEN 2 THEN ' ' || p_name || ' ' ELSE '' END AS title,
+         p_name AS keyword FROM part)
+SELECT root_keyword, replace(root_keyword, ' ', '-') AS slug,
+       concat_ws(',', keyword, root_keyword, 'google_suggest', 'google', '', '', '', '', {_cell('title')}, '', '', 'en', 'US', '2024-01-01T00:00:00', '', '') AS line
+FROM rows""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the CSV exports with quotes, commas, blanks at the ends and empty cells."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 4
+    title = F.when(kind == 0, F.concat(F.lit('say "'), name, F.lit('", '), "p_brand")).when(kind == 1, F.concat_ws(", ", name, "p_type")).when(
+        kind == 2, F.concat(F.lit(" "), name, F.lit(" "))).otherwise("")
+    rows = table(spark, sf_dir, "part").select(
+        name.alias("keyword"), F.lower(F.concat_ws(" ", "p_brand", name)).alias("root_keyword"), F.lit("google_suggest").alias("source"),
+        F.lit("google").alias("channel"), title.alias("title"), F.lit(rules.LANGUAGE).alias("language"), F.lit(rules.COUNTRY).alias("country"),
+        F.lit(COLLECTED_AT).cast("timestamp_ntz").alias("collected_at"))
+    return files.csv_lines(rows)
