@@ -20,7 +20,13 @@ SLACK = 1e-3
 QUERIES_AT_ONCE = 512
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1: exact, and no square can be lost."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -97,8 +103,7 @@ def checked(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
             for label, vec in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 good = label is not None and vec is not None and len(vec) > 0 and None not in vec
                 row = np.asarray(vec, np.float64) + 0.0 if good else None
-                with np.errstate(over="ignore"):
-                    good = good and bool(np.isfinite(row).all()) and 0 < float(row @ row) < math.inf
+                good = good and bool(np.isfinite(row).all()) and bool(row.any())
                 digests.append(hashlib.blake2b(repr(label).encode() + b"/" + row.tobytes(), digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["vec_id", "label", "vec", "digest"])
 
@@ -130,13 +135,15 @@ def near_vectors(
     the error of its code, is beyond the threshold. So no link is lost, whatever the sample was. A list is compared in
     blocks; a block answers with link counts and a forest of its links, never with all pairs. Equal vectors are one
     entry. Null, empty or zero vectors, those with null or non-finite components, and null labels link with nothing;
-    vectors of different lengths do not link. Rows that repeat an id count as vectors of their own. Ids are integers.
+    vectors of different lengths do not link. Rows that repeat an id are vectors of their own, linked and counted by
+    themselves; component_id is the smallest id among the vectors reached. A row without an id links with nothing, has
+    itself (null) as its component and is kept. Ids are integers.
     """
     rows = settle(checked(vectors, id_col, vec_col, label_col), "vectors")
     groups = settle(
         rows.filter("digest IS NOT NULL AND vec_id IS NOT NULL").groupBy("digest")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("dim").alias("dim")),
-        "groups")
+        .agg(F.min("vec_id").cast("long").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+        .withColumn("rep", F.monotonically_increasing_id()), "groups")  # a number for each different vector, fixed by writing it
     reach = math.sqrt(2 - 2 * least)
     model = vectors.sparkSession.sparkContext.broadcast(fit(groups, sample, lists, parts, codes))
     label_kind, vec_kind = groups.schema["label"].dataType.simpleString(), groups.schema["vec"].dataType.simpleString()
@@ -178,7 +185,7 @@ def near_vectors(
         ours, theirs = frame[~frame["member"]], frame[frame["member"]]
         out = []
         if len(ours) and len(theirs):
-            a, b = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (ours, theirs))
+            a, b = (_scaled(np.stack(f["vec"].to_numpy()).astype(np.float64)) for f in (ours, theirs))
             ids_a, ids_b, copies = ours["rep"].to_numpy(), theirs["rep"].to_numpy(), theirs["copies"].to_numpy()
             size_b = np.linalg.norm(b, axis=1)
             unit_b = b / size_b[:, None]
@@ -208,8 +215,11 @@ def near_vectors(
         .groupBy("label", "dim", "list", "m_block", "q_block").applyInPandas(compared, "a long, b long, n long"), "found")
     counts = found.filter("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     parts_of = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("id", "rep")
-    told = groups.select("digest", "rep", "copies").join(counts, "rep", "left").join(parts_of, "rep", "left").select(
-        "digest", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    told = groups.select("digest", "rep", "low", "copies").join(counts, "rep", "left").join(parts_of, "rep", "left")
+    told = settle(told.withColumn("component", F.coalesce("component", "rep")), "told")
+    lowest = told.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("nodes"))
+    told = salted_join(told, lowest, ["component"], "nodes", F.col("rep"), told.count()).select(
+        "digest", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = salted_join(
         rows.filter("digest IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "digest"), told, ["digest"], "copies", F.col("vec_id"), rows.count())
     alone = rows.filter("digest IS NULL OR vec_id IS NULL").select(

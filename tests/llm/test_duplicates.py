@@ -194,14 +194,22 @@ def vectors_wanted(rows, least):
         v = row[1]
         return row[2] is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
-    unit = {k: np.array(r[1], np.float32).astype(float) for k, r in enumerate(rows) if good(r)}
+    wide = any(good(r) and not 1e-30 < max(map(abs, r[1])) < 1e30 for r in rows)
+    unit = {k: np.array(r[1], float if wide else np.float32).astype(float) for k, r in enumerate(rows) if good(r)}
+    if wide:
+        unit = {k: v / np.abs(v).max() for k, v in unit.items()}
     linked = [
         (a, b) for a, b in itertools.combinations(unit, 2)
         if rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b])
         and unit[a] @ unit[b] / np.sqrt(unit[a] @ unit[a]) / np.sqrt(unit[b] @ unit[b]) >= least]
-    found = parts([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in linked])
+    found = parts(list(range(len(rows))), linked)
+    low = {}
+    for k, root in found.items():
+        if rows[k][0] is not None:
+            low[root] = min(low.get(root, rows[k][0]), rows[k][0])
     counts = np.bincount([x for p in linked for x in p], minlength=len(rows))
-    return sorted((r[0], int(counts[k]), found[r[0]], found[r[0]] == r[0]) for k, r in enumerate(rows))
+    own = [None if r[0] is None else low[found[k]] for k, r in enumerate(rows)]
+    return sorted((r[0], int(counts[k]), own[k], own[k] == r[0]) for k, r in enumerate(rows))
 
 
 @pytest.mark.parametrize("block", [16, 2048])
@@ -219,6 +227,20 @@ def test_near_vectors_against_all_pairs(spark, block):
     assert sorted(tuple(r) for r in found.collect()) == vectors_wanted(rows, 0.93)
 
 
+def test_vectors_that_share_an_id_and_extreme_ones(spark):
+    """Rows of one id are vectors of their own; very small and very large components keep their direction."""
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [
+        (1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (5, [0.0, 0.0, 1.0], 1), (5, [0.0, 0.01, 1.0], 1),
+        (7, [0.0, 1e-170, 0.0], 1), (8, [3e300, 1e290, 0.0], 1), (9, [5e-324, 0.0, 0.0], 1), (9, [5e-324, 0.0, 0.0], 1), (10, [-1e308, 1e308, 0.0], 1),
+        (11, [-1e-300, 1e-300, 0.0], 1), (12, [0.0, 0.0, 0.0], 1),
+    ]
+    found = near_vectors(spark.createDataFrame(rows, schema).repartition(3), sample=5, lists=3, codes=4, parts=2)
+    assert sorted(tuple(r) for r in found.collect()) == vectors_wanted(rows, 0.93)
+    told = near_vectors(spark.createDataFrame([(None, [1.0], 1), (None, [1.0], 1), (3, [1.0], 1)], schema)).collect()
+    assert sorted(map(str, map(tuple, told))) == sorted(map(str, [(None, 0, None, True), (None, 0, None, True), (3, 0, 3, True)]))
+
+
 def test_near_vectors_of_nothing(spark):
     assert near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     lone = near_vectors(spark.createDataFrame([(1, None, None, "x", 1), (2, None, 3, "x", 1)], VECTORS))
