@@ -16,12 +16,16 @@ CHUNK = 65536
 BINS = 4096
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size in words, and the hash by which a source's documents are shuffled."""
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size in words, the hash by which a source's documents are shuffled, one that orders rows of one
+    id, and the number of the row, where it has one."""
+    number = F.lit(None).cast("long") if row_col is None else F.col(row_col)
+    whole = [F.col(f"`{c}`") for c in docs.columns if c != row_col and "map<" not in docs.schema[c].dataType.simpleString()]
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"),
+        F.xxhash64(*whole).alias("tie"), number.alias("row"),
     )
 
 
@@ -89,26 +93,27 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 256,
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 256, row_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and taken_by_pass (array of `most` numbers), a row per row.
+    """doc_id, source, size, source_size, target, taken, taken_by_pass (array of `most` numbers) and row, a row per row.
 
     A source's documents, shuffled by the hash of their ids, are one stream of words, which is played up to `most`
     times over and cut in equal blocks; the schedule says which blocks are in the mix. taken is the sum of the words
     of a document's blocks that are. The words taken of a source are its target, rounded. A null text has no words, a
     null source is a source by itself, repeated rows are documents of their own; an empty table gives an empty mix.
+    row is what `row_col` numbers a row with, so that decisions can be told apart where ids cannot; else null.
     Reruns agree, as nothing depends on the order or partitions of the rows.
     """
-    rows = settle(sizes(docs, id_col, text_col, source_col).withColumn("bin", F.substring("key", 1, 3)), "sizes")
+    rows = settle(sizes(docs, id_col, text_col, source_col, row_col).withColumn("bin", F.substring("key", 1, 3)), "sizes")
     goals = settle(targets(rows, weights, share, most), "targets")
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words")).withColumn(
         "base", F.sum("words").over(Window.partitionBy("source").orderBy("bin")) - F.col("words"))
     bins = bins.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select(
         "b.source", "bin", "base", "source_no", "source_size", "target", "quota")
-    in_bin = Window.partitionBy("source_no", "bin").orderBy("key", "doc_id", "size")
+    in_bin = Window.partitionBy("source_no", "bin").orderBy("key", "doc_id", "size", "tie")
     placed = (
         rows.alias("r").join(bins.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin")))
-        .select("doc_id", "r.source", "size", "key", "r.bin", "base", "source_no", "source_size", "target", "quota")
+        .select("doc_id", "r.source", "size", "key", "tie", "row", "r.bin", "base", "source_no", "source_size", "target", "quota")
         .withColumn("place", F.row_number().over(in_bin))
         .withColumn("start", F.col("base") + F.sum("size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     )
@@ -120,22 +125,27 @@ def mix(
     found = pieces.join(schedule(goals, block).drop("slot"), ["source_no", "block_no"], "left").withColumn(
         "words", F.when(F.col("until").isNotNull(), F.greatest(
             F.least("end", "until") - F.greatest(F.col("start"), F.col("block_no") * block), F.lit(0))).otherwise(0))
-    same = ["doc_id", "source", "size", "source_size", "target"]
+    same = ["doc_id", "source", "size", "source_size", "target", "row"]
     return found.groupBy("source_no", "bin", "place").agg(
         *[F.first(c).alias(c) for c in same], F.sum("words").alias("taken"),
         F.array(*[F.sum(F.when(F.col("pass") == p, F.col("words")).otherwise(0)) for p in range(most)]).alias("taken_by_pass"),
-    ).select(*same, "taken", "taken_by_pass")
+    ).select(*same[:-1], "taken", "taken_by_pass", "row")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The documents of the mix, with the columns of docs: a row for each pass in which words of a document are taken.
 
     A document of which only the first words are taken (one per source, where the quota ends) has its text cut after
-    them. Ids are taken to identify documents: where rows share one, the decision for one of them holds for all.
+    them. Every row has its own decision, also where rows share an id or have none: the documents are written once with
+    a number for each row, by which they meet their decisions.
     """
-    plan = mix(docs, id_col, text_col, source_col, **settings).filter("taken > 0").dropDuplicates(["doc_id"])
-    plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.explode("taken_by_pass").alias("mix_words"))
-    joined = docs.alias("d").join(plan.filter("mix_words > 0").alias("m"), F.col(f"d.{id_col}").eqNullSafe(F.col("m.mix_id")))
+    row = "mix_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plan = mix(numbered, id_col, text_col, source_col, row_col=row, **settings).filter("taken > 0")
+    plan = plan.select(F.col("row").alias("mix_id"), F.col("size").alias("mix_size"), F.explode("taken_by_pass").alias("mix_words"))
+    joined = numbered.alias("d").join(plan.filter("mix_words > 0").alias("m"), F.col(f"d.{row}") == F.col("m.mix_id"))
     whole = F.col(f"d.{text_col}")
     spaced = F.regexp_extract_all(whole, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     text = F.when(F.col("m.mix_words") >= F.col("m.mix_size"), whole).otherwise(
