@@ -28,19 +28,26 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of ids; of rows that repeat an id and a text, one."""
+    """The rows of docs with one of ids; of rows that repeat an id and a text, the first by their other columns."""
     number = _free(docs, "copy_no")
-    same = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
+    same = Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
     found = docs.join(ids.distinct(), "doc_id", "left_semi").select(*docs.columns)
     found = found.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).drop(number)
     return found.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learnt; those without a text or without letters go."""
+    """Documents with letters, of which a language can be told; a null lang becomes the predicted one.
+
+    Where no labelled document teaches a language, documents with letters are kept as they are.
+    """
     sample = fit(docs.filter(~held_out(F.col("doc_id"))))
-    found = _free(docs, "found")
-    return docs.withColumn(found, identify(docs, sample)).filter(F.col(found)["lang_pred"] != UNDETERMINED).drop(found)
+    if not sample:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    name = _free(docs, "found")
+    found = docs.withColumn(name, identify(docs, sample)).filter(F.col(name)["lang_pred"] != UNDETERMINED)
+    told = F.coalesce(F.col("lang"), F.col(name)["lang_pred"])
+    return found.select(*[told.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, the rule of stages), the one with the smallest id."""
     return _kept(docs, near_duplicates(docs).filter("kept").select("doc_id"))
 
 
