@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexmine.llm.mixing import mix, mixed_documents, schedule, sizes, targets
@@ -90,6 +91,48 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert words == Counter({d: n for d, n in plan.items() if n})
 
 
+def test_rows_without_or_with_equal_ids_have_their_own_decisions(spark):
+    """Every row's texts in the mix add up to the plan of its source, whatever the ids; reruns agree."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 7, 8]), " ".join(f"w{i}" for i in range(rng.randrange(1, 60))) + f" r{k}", "en", rng.choice("ab")) for k in range(60)]
+    rows += [(None, "same text", "en", "a")] * 5 + [(9, "same text", "de", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = goals({s: sum(len(WORD.findall(r[1])) for r in rows if r[3] == s) for s in "ab"})
+    mixed = columns(mixed_documents(docs, block=16), "doc_id", "text", "lang", "source")
+    taken = Counter()
+    for _, text, _, source in mixed:
+        taken[source] += len(WORD.findall(text))
+    assert all(abs(taken[s] - wanted[s]) <= 0.5 for s in wanted)
+    # a text is whole but for one cut per source; no row is played more than twice
+    pool = Counter((r[0], r[1], r[2], r[3]) for r in rows)
+    whole = Counter(m for m in map(tuple, mixed) if m in pool)
+    assert all(n <= 2 * pool[m] for m, n in whole.items()) and len(mixed) - sum(whole.values()) <= 2
+    again = columns(mixed_documents(docs.repartition(5), block=16), "doc_id", "text", "lang", "source")
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
+
+
+def test_language_stage_loses_nothing_and_fills_languages(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    plain = [(i, f"some words of text {i}", None, "a") for i in range(5)] + [(None, "words without an id", None, "a"), (9, "123", None, "a"), (10, None, None, "a")]
+    kept = columns(corpus_pipeline.language_id(spark, spark.createDataFrame(plain, schema), ""), "doc_id", "text", "lang")
+    assert sorted(map(str, kept)) == sorted(str(r[:3]) for r in plain if r[0] not in (9, 10))
+    docs = documents(spark)
+    blanked = docs.withColumn("lang", F.when(F.col("doc_id") % 10 != 0, F.col("lang")))
+    before = dict(columns(docs, "doc_id", "lang"))
+    after = dict(columns(corpus_pipeline.language_id(spark, blanked, ""), "doc_id", "lang"))
+    filled = [d for d in after if d % 10 == 0 and before[d]]
+    assert all(after[d] == before[d] for d in after if d % 10 and before[d]) and None not in after.values()
+    assert filled and sum(after[d] == before[d] for d in filled) >= 0.9 * len(filled)
+
+
+def test_rows_that_differ_beside_id_and_text(spark):
+    """Of rows with one id and text the first by the other columns stays, however the rows come."""
+    rows = [(1, "one text", lang, source) for lang in ("de", "en", None) for source in ("a", "b")] + [(2, "other", "en", "a")]
+    schema = "doc_id long, text string, lang string, source string"
+    found = {tuple(sorted(map(str, columns(corpus_pipeline.exact(spark, spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3), ""), "doc_id", "text", "lang", "source")))) for k in range(0, 6, 2)}
+    assert len(found) == 1 and len(found.pop()) == 2
+
+
 def test_stages_have_the_columns_of_documents(spark, tmp_path):
     docs = documents(spark)
     kept = docs
