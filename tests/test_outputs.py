@@ -31,6 +31,8 @@ def test_planted_groups_are_recovered_with_any_chunks(spark):
     assert len(whole) == 160 and all(len(ids) == 1 for ids in groups.values())
     assert {i for ids in groups.values() for i in ids} == {0, 1, 2, 3}
     assert sorted(map(tuple, fit(planted(spark), n_clusters=4, chunk_rows=60).collect())) == whole
+    # more chunks than are added up at once
+    assert sorted(map(tuple, fit(planted(spark), n_clusters=4, chunk_rows=8).collect())) == whole
 
 
 def test_no_keyword_is_lost_to_the_vocabulary(spark, monkeypatch):
