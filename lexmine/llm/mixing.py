@@ -95,11 +95,13 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 256, row_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, taken_by_pass (array of `most` numbers) and row, a row per row.
+    """doc_id, source, size, source_size, target, taken, taken_by_pass, slot_by_pass (arrays of `most` numbers) and row,
+    a row per row.
 
     A source's documents, shuffled by the hash of their ids, are one stream of words, which is played up to `most`
     times over and cut in equal blocks; the schedule says which blocks are in the mix. taken is the sum of the words
-    of a document's blocks that are. The words taken of a source are its target, rounded. A null text has no words, a
+    of a document's blocks that are, slot_by_pass where the schedule plays its words in each pass for the first time
+    (null: not at all); ordered by these slots, the mix has its sources in proportion all along. The words taken of a source are its target, rounded. A null text has no words, a
     null source is a source by itself, repeated rows are documents of their own; an empty table gives an empty mix.
     row is what `row_col` numbers a row with, so that decisions can be told apart where ids cannot; else null.
     Reruns agree, as nothing depends on the order or partitions of the rows.
@@ -122,32 +124,38 @@ def mix(
     last = F.least(F.col("start") + F.col("size"), F.col("quota"))
     pieces = passes.withColumn("end", F.col("start") + F.col("size")).withColumn("block_no", F.explode_outer(
         F.when(last > F.col("start"), F.sequence(F.floor(F.col("start") / block), F.floor((last - 1) / block)))))
-    found = pieces.join(schedule(goals, block).drop("slot"), ["source_no", "block_no"], "left").withColumn(
+    found = pieces.join(schedule(goals, block), ["source_no", "block_no"], "left").withColumn(
         "words", F.when(F.col("until").isNotNull(), F.greatest(
             F.least("end", "until") - F.greatest(F.col("start"), F.col("block_no") * block), F.lit(0))).otherwise(0))
     same = ["doc_id", "source", "size", "source_size", "target", "row"]
     return found.groupBy("source_no", "bin", "place").agg(
         *[F.first(c).alias(c) for c in same], F.sum("words").alias("taken"),
         F.array(*[F.sum(F.when(F.col("pass") == p, F.col("words")).otherwise(0)) for p in range(most)]).alias("taken_by_pass"),
-    ).select(*same[:-1], "taken", "taken_by_pass", "row")
+        F.array(*[F.min(F.when((F.col("pass") == p) & (F.col("words") > 0), F.col("slot"))) for p in range(most)]).alias("slot_by_pass"),
+    ).select(*same[:-1], "taken", "taken_by_pass", "slot_by_pass", "row")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slot_col: str | None = None, **settings,
+) -> DataFrame:
     """The documents of the mix, with the columns of docs: a row for each pass in which words of a document are taken.
 
     A document of which only the first words are taken (one per source, where the quota ends) has its text cut after
     them. Every row has its own decision, also where rows share an id or have none: the documents are written once with
-    a number for each row, by which they meet their decisions.
+    a number for each row, by which they meet their decisions. `slot_col` adds each row's slot in the schedule: writing
+    the documents in its order gives the mix that the points schedule.
     """
     row = "mix_row"
     while row in {c.lower() for c in docs.columns}:
         row += "_"
     numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     plan = mix(numbered, id_col, text_col, source_col, row_col=row, **settings).filter("taken > 0")
-    plan = plan.select(F.col("row").alias("mix_id"), F.col("size").alias("mix_size"), F.explode("taken_by_pass").alias("mix_words"))
+    plan = plan.select(F.col("row").alias("mix_id"), F.col("size").alias("mix_size"), F.inline(F.arrays_zip(
+        F.col("taken_by_pass").alias("mix_words"), F.col("slot_by_pass").alias("mix_slot"))))
     joined = numbered.alias("d").join(plan.filter("mix_words > 0").alias("m"), F.col(f"d.{row}") == F.col("m.mix_id"))
     whole = F.col(f"d.{text_col}")
     spaced = F.regexp_extract_all(whole, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     text = F.when(F.col("m.mix_words") >= F.col("m.mix_size"), whole).otherwise(
         F.array_join(F.slice(spaced, F.lit(1), F.col("m.mix_words").cast("int")), ""))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
+    slot = [] if slot_col is None else [F.col("m.mix_slot").alias(slot_col)]
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns], *slot)

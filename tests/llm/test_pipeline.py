@@ -75,6 +75,33 @@ def test_schedule_keeps_to_the_weights_all_along(spark):
         assert all(abs(seen[s] - n * q / sum(quota.values())) <= 5 for s, q in quota.items())
 
 
+def test_documents_are_played_where_the_points_say(spark):
+    """Slots of the documents against a plain walk over golden-ratio points; another step gives other slots."""
+    docs = spark.createDataFrame([(i, "w " * 50, f"s{i % 3}") for i in range(120)], "doc_id long, text string, source string")
+    block, quota = 50, {r[0]: r[1] for r in columns(targets(sizes(docs, "doc_id", "text", "source"), (3, 1, 2), 1.5, 2), "source", "quota")}
+
+    def played(step):
+        total, slots, count = sum(quota.values()), {}, Counter()
+        edges = [0.0]
+        for s in sorted(quota):
+            edges.append(edges[-1] + quota[s])
+        for i in range(-(-total // block)):
+            u = i * step % 1.0
+            s = next(s for k, s in enumerate(sorted(quota)) if edges[k] / total <= u < edges[k + 1] / total)
+            if count[s] * block < quota[s]:
+                slots.setdefault(s, []).append(i)
+            count[s] += 1
+        return slots
+
+    found, got = columns(mixed_documents(docs, block=block, slot_col="slot"), "source", "slot"), {}
+    for source, slot in found:
+        got.setdefault(source, []).append(slot)
+    golden = played(0.6180339887498949)
+    for source, slots in golden.items():
+        assert sorted(got[source])[:len(slots)] == slots  # a document is a block here
+    assert any(sorted(got[s])[:len(p)] != p for s, p in played(0.5).items())
+
+
 def test_mixture_of_edge_rows(spark):
     rows = [(r[0], r[1], r[3]) for r in edge_rows()]
     mixture_holds(rows, columns(mix(edge_docs(spark)), *NAMES))
