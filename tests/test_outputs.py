@@ -136,4 +136,4 @@ def test_whole_run(spark, tmp_path):
     assert "  google                             5 条" in lines
     whole = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{tmp_path}/summary_report/*.txt"))).split("\n")
     assert whole[1] == "  SEO 关键词采集 - 全局汇总报告" and "  · scissor lift" in whole
-    assert len(read_csv(f"{tmp_path}/final_keyword_map")) == 3
+    assert len(read_csv(f"{tmp_path}/final_keyword_map/part=000000000")) == 3

@@ -119,6 +119,12 @@ def test_ledger_moves_on(spark, tmp_path):
     assert sorted(map(tuple, book.state().collect())) == [("a", 1, LANDED, 3), ("b", 0, LANDED, 0)]
 
 
+@pytest.fixture
+def one_cluster(monkeypatch):
+    """Runs without fitting clusters: these tests are about what runs, not about what it finds."""
+    monkeypatch.setattr(mining, "cluster", lambda df: df.withColumn("cluster_id", F.lit(0)).withColumn("cluster_label", F.lit("[0] one")))
+
+
 BODY = '["q",["scissor lift","scissor lift price","electric scissor lift for sale","used scissor lift"]]'
 
 
@@ -126,7 +132,7 @@ def captured(spark):
     return responses(spark, response("google", "suggest", BODY), response("bing", "suggest", BODY, root="pallet jack", seq=1))
 
 
-def test_a_second_run_requests_nothing(spark, tmp_path, monkeypatch):
+def test_a_second_run_requests_nothing(spark, tmp_path, one_cluster, monkeypatch):
     roots = spark.createDataFrame([("scissor lift", 0), ("pallet jack", 1), ("silent", 2)], "root_keyword string, position int")
     folder = str(tmp_path)
     assert mining.requests(spark, roots, folder).select("root_keyword").distinct().count() == 3
@@ -138,26 +144,26 @@ def test_a_second_run_requests_nothing(spark, tmp_path, monkeypatch):
     def never(*args, **kwargs):
         raise AssertionError("exported again")
 
-    monkeypatch.setattr(mining, "export_all", never)
-    again = mining.mine(spark, captured(spark).limit(0), roots, folder, "2024-01-01 00:00:00")
+    with monkeypatch.context() as patch:
+        patch.setattr(mining, "export_all", never)
+        again = mining.mine(spark, captured(spark).limit(0), roots, folder, "2024-01-01 00:00:00")
     assert sorted(r.keyword for r in again.collect()) == want
-    monkeypatch.undo()
     mining.mine(spark, captured(spark), roots, folder, "2024-01-01 00:00:00", clear=True)
     assert mining.requests(spark, roots, folder).select("root_keyword").distinct().count() == 3
 
 
 @pytest.mark.parametrize("dies_in", ["analyze", "landed"])
-def test_a_killed_run_resumes_without_landing_again(spark, tmp_path, monkeypatch, dies_in):
+def test_a_killed_run_resumes_without_landing_again(spark, tmp_path, one_cluster, monkeypatch, dies_in):
     roots = spark.createDataFrame([("scissor lift", 0), ("pallet jack", 1)], "root_keyword string, position int")
 
     def die(*args, **kwargs):
         raise KeyboardInterrupt
 
     # either after the ledger knows, or between the published landing and the ledger
-    monkeypatch.setattr(*((mining, "analyze") if dies_in == "analyze" else (Ledger, "landed")), die)
-    with pytest.raises(KeyboardInterrupt):
-        mining.mine(spark, captured(spark), roots, str(tmp_path), "2024-01-01 00:00:00")
-    monkeypatch.undo()
+    with monkeypatch.context() as patch:
+        patch.setattr(*((mining, "analyze") if dies_in == "analyze" else (Ledger, "landed")), die)
+        with pytest.raises(KeyboardInterrupt):
+            mining.mine(spark, captured(spark), roots, str(tmp_path), "2024-01-01 00:00:00")
     monkeypatch.setattr(mining, "land", die)
     final = mining.mine(spark, captured(spark), roots, str(tmp_path), "2024-01-01 00:00:00")
     assert final.count() == 6 and os.path.isdir(tmp_path / "final_keyword_map")
@@ -165,7 +171,7 @@ def test_a_killed_run_resumes_without_landing_again(spark, tmp_path, monkeypatch
     assert states == {EXPORTED}
 
 
-def test_new_roots_join_the_old_ones(spark, tmp_path):
+def test_new_roots_join_the_old_ones(spark, tmp_path, one_cluster):
     one = spark.createDataFrame([("scissor lift", 0)], "root_keyword string, position int")
     both = spark.createDataFrame([("scissor lift", 0), ("pallet jack", 1)], "root_keyword string, position int")
     assert mining.mine(spark, captured(spark), one, str(tmp_path), "2024-01-01 00:00:00").count() == 3
