@@ -30,7 +30,7 @@ def _free(docs: DataFrame, name: str) -> str:
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs with one of ids; of rows that repeat an id and a text, the first by their other columns."""
     number = _free(docs, "copy_no")
-    same = Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    same = Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
     found = docs.join(ids.distinct(), "doc_id", "left_semi").select(*docs.columns)
     found = found.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).drop(number)
     return found.unionByName(docs.filter("doc_id IS NULL"))
