@@ -7,9 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexmine.llm.common import salted_join, settle
 
+# The directory has at most 2 ** MOST_BITS cells, which bounds its broadcast; larger tables have larger buckets instead.
+MOST_BITS = 20
+# Keys with more than one in so many of all rows are hot; there are fewer of them than that, which bounds their list.
+HOT_SHARE = 100_000
+# The rows of a hot text merge in the map tasks and then in so many lanes, so its owner reads that many rows at most.
+LANES = 64
+
 
 def directory(entries: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int]:
     """(cell, bucket, depth) rows and the bits of a cell.
@@ -19,7 +27,7 @@ def directory(entries: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int
     once by cells finer than any expected bucket, and each level sums those. Keys that agree in all bits of a cell stay
     together, however many they are: their bucket is an overflow bucket.
     """
-    bits = max(1, math.ceil(math.log2(max(2, n / capacity))) + 6)
+    bits = min(MOST_BITS, max(1, math.ceil(math.log2(max(2, n / capacity))) + 6))
     cells = entries.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("cell")).agg(F.count("*").alias("load"))
     levels = cells.select(
         "cell", "load", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
@@ -30,27 +38,39 @@ def directory(entries: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int
     return found.select("cell", F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)").alias("bucket"), "depth"), bits
 
 
-def build_index(rows: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int, int]:
+def routed(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """h, text, keep_id, group_size: what the owners are sent, a row per row, or few rows per hot text.
+
+    A text with a third of all rows leaves each map task as one row, and its lanes as one row each; these are parts of
+    its group still. Texts of other keys go to their owners as they are, so most texts are shuffled once.
+    """
+    listed = F.broadcast(keys.filter(F.col("n_rows") * HOT_SHARE > total).select("h"))
+    merged = rows.join(listed, "h", "left_semi").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
+    merged = merged.groupBy("h", "lane", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    single = rows.join(listed, "h", "left_anti").select("h", "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return merged.select("h", "text", "keep_id", "group_size").unionByName(single)
+
+
+def build_index(rows: DataFrame, keys: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int, int]:
     """The index table, its directory, the bits of a cell and the number of rows.
 
-    `rows` has doc_id, text and the 64-bit key h. Copies merge in the map tasks, where texts are compared byte by byte
-    as grouping keys, so a text with a third of all rows reaches its owner as one row per map task. What is kept of an
-    entry is its place in the chain of its key (the digest of its text), its largest doc_id and its number of rows.
+    `rows` has doc_id, text and the 64-bit key h, `keys` each h and its number of rows. The directory gives each row
+    the bucket of its key, a range of keys, and the bucket's owner is sent all rows of the range. The owner compares
+    the texts of a key byte by byte: equal ones become one entry, different ones a chain. An entry is its bucket, key
+    and `link` (its place in the chain, from 1), the digest of its text, its largest doc_id and its number of rows.
     """
-    entries = settle(
-        rows.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "entries",
-    )
-    totals = entries.agg(F.count("*"), F.sum("group_size"), F.count_distinct("h")).first()
-    n, total, keys = totals[0], totals[1] or 0, totals[2]
-    if n > keys and not entries.groupBy("h", "text_sha256").count().filter("count > 1").isEmpty():
-        raise ValueError("two different texts have one SHA-256 digest")
-    buckets, bits = directory(entries, n, capacity)
+    n, total = keys.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    buckets, bits = directory(keys, n, capacity)
     buckets = settle(buckets, "directory")
-    index = settle(
-        entries.withColumn("cell", F.shiftrightunsigned("h", 64 - bits)).join(buckets, "cell").drop("cell")
-        .repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index",
-    )
+    cell = F.shiftrightunsigned("h", 64 - bits)
+    owned = routed(rows, keys, total).withColumn("cell", cell).join(F.broadcast(buckets.select("cell", "bucket")), "cell").drop("cell")
+    entries = owned.repartition("bucket").groupBy("bucket", "h", "text").agg(
+        F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chain = Window.partitionBy("bucket", "h").orderBy("text_sha256")
+    index = settle(entries.withColumn("text_sha256", F.sha2("text", 256)).drop("text").withColumn("link", F.row_number().over(chain)), "index")
+    chained = index.join(index.filter("link > 1").select("bucket", "h").distinct(), ["bucket", "h"], "left_semi")
+    if not chained.groupBy("bucket", "h", "text_sha256").count().filter("count > 1").isEmpty():
+        raise ValueError("two different texts have one SHA-256 digest")
     return index, buckets, bits, total
 
 
@@ -67,10 +87,11 @@ def exact_dedup(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", key(F.col("text")))
-    index, buckets, bits, total = build_index(rows, capacity)
-    asked = rows.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"), F.shiftrightunsigned("h", 64 - bits).alias("cell"))
-    asked = asked.join(buckets, "cell").select("doc_id", "bucket", "h", "text_sha256")
-    found = salted_join(asked, index, ["bucket", "h", "text_sha256"], "group_size", F.col("doc_id"), total)
+    narrow = settle(rows.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256")), "digests")
+    keys = settle(narrow.groupBy("h").agg(F.count("*").alias("n_rows")), "keys")
+    index, buckets, bits, total = build_index(rows, keys, capacity)
+    asked = narrow.withColumn("cell", F.shiftrightunsigned("h", 64 - bits)).join(F.broadcast(buckets.select("cell", "bucket")), "cell")
+    found = salted_join(asked.drop("cell"), index.drop("link"), ["bucket", "h", "text_sha256"], "group_size", F.col("doc_id"), total)
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

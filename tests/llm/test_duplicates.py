@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmine.llm.common import components
-from lexmine.llm.exact import directory, exact_dedup
+from lexmine.llm.exact import build_index, directory, exact_dedup, routed
 from lexmine.llm.neardup import near_duplicates
 from lexmine.llm.shingles import shingle_sets
 from lexmine.llm.vectors import near_vectors
@@ -64,6 +64,27 @@ def test_exact_dedup_of_documents_and_of_nothing(spark):
     assert exact_dedup(empty_docs(spark)).count() == 0
 
 
+def test_owners_chain_keys_of_their_range(spark):
+    """Different texts of one key are links of one chain; a bucket is a range of keys; a hot text leaves in few rows."""
+    texts = [f"{'x' * (i % 40)}{i % 7}" for i in range(2000)] + ["the same text everywhere"] * 1000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    rows = docs.withColumn("h", F.xxhash64(F.length("text")))
+    keys = rows.groupBy("h").agg(F.count("*").alias("n_rows"))
+    index, buckets, bits, total = build_index(rows, keys, 4)
+    found = index.collect()
+    assert total == len(texts) and sum(r["group_size"] for r in found) == total and len(found) == len(set(texts))
+    chains, places = {}, {}
+    for r in found:
+        chains.setdefault(r["h"], []).append(r["link"])
+        places.setdefault((r["h"] & (2**64 - 1)) >> (64 - bits), set()).add(r["bucket"])
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values()) and max(map(len, chains.values())) > 1
+    assert {c: {b} for c, b in ((r["cell"], r["bucket"]) for r in buckets.collect())} == places
+    sent = routed(rows, keys, total).groupBy("text").agg(F.count("*").alias("n"), F.sum("group_size").alias("size")).collect()
+    wanted = {t: texts.count(t) for t in set(texts)}
+    assert {r["text"]: r["size"] for r in sent} == wanted
+    assert {r["text"]: r["n"] for r in sent}["the same text everywhere"] <= 9
+
+
 def test_directory_splits_only_what_is_overfull(spark):
     crowded = [(i << 40,) for i in range(64)]  # all in the first bucket until deep
     apart = [((-1) ** (i % 2) * (i << 57),) for i in range(32)]
