@@ -75,7 +75,7 @@ def build_index(rows: DataFrame, keys: DataFrame, capacity: int) -> tuple[DataFr
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 512,
     key: Callable[[Column], Column] = F.xxhash64,
 ) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
