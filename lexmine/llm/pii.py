@@ -9,7 +9,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.spans import digest, span_column
+from lexmine.llm.spans import Reach, digest, span_column
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -156,11 +156,11 @@ class Finder:
     def _uncovered(added: list, spans: list) -> list:
         if not added:
             return []
-        taken = [(s[1], s[2]) for s in spans]
-        out: list = []
-        for span in sorted(set(added), key=lambda s: (s[1], s[0])):
-            if not any(a <= span[1] and span[2] <= b for a, b in taken) and not any(s[0] == span[0] and s[2] > span[1] for s in out):
+        base, last, out = Reach((s[1], s[2]) for s in spans), {}, []
+        for span in sorted(set(added), key=lambda s: (s[1], s[0], -s[2])):
+            if base.before(span[1] + 1) < span[2] and last.get(span[0], 0) <= span[1]:
                 out.append(span)
+                last[span[0]] = span[2]
         return out
 
 

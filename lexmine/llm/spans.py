@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,20 @@ Span = tuple[str, int, int]
 TYPE = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
+class Reach:
+    """Spans by their starts, to be asked in logarithmic time how far those that start early enough go."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        inorder = sorted(spans)
+        self.starts = [a for a, _ in inorder]
+        self.ends = list(accumulate((b for _, b in inorder), max))
+
+    def before(self, place: int) -> int:
+        """The furthest end of the spans that start before a place; -1 where none does."""
+        n = bisect_left(self.starts, place)
+        return self.ends[n - 1] if n else -1
+
+
 def span_column(text: Column, make: Callable[[], Callable[[str], list[tuple[str, int, int, bool]]]]) -> Column:
     """A column of spans (kind, start, end in code points, whether the base rules found it) of a text column.
 

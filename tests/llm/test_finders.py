@@ -15,6 +15,29 @@ from tests.llm.frames import columns, documents, edge_docs, edge_rows, empty_doc
 # --- personal data ---
 
 
+def test_added_spans_against_every_base_span():
+    """What base spans cover, or an earlier span of the kind overlaps, is left out: against tests of all pairs."""
+    rng = random.Random(4)
+
+    def spans(n, kinds):
+        return [(rng.choice(kinds), a, a + rng.randrange(1, 12), False) for a in (rng.randrange(200) for _ in range(n))]
+
+    for _ in range(300):
+        base, added = spans(rng.randrange(25), "xyz"), spans(rng.randrange(25), "uv")
+        wanted = []
+        for kind, a, b, rule in sorted(set(added), key=lambda s: (s[1], s[0], -s[2])):
+            covered = any(s[1] <= a and b <= s[2] for s in base)
+            if not covered and not any(s[0] == kind and s[2] > a for s in wanted):
+                wanted.append((kind, a, b, rule))
+        assert Finder._uncovered(added, base) == wanted
+
+
+def test_a_text_with_very_many_spans():
+    text = " ".join(f"u{i}@host{i}.org https://me:pw@site{i}/p" for i in range(50_000))
+    found = Finder()(text)
+    assert sum(s[3] for s in found) == 50_000 and sum(s[0] == "url" for s in found) == 50_000
+
+
 def pii_base(text):
     text = text or ""
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
