@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmine.llm.spans import TYPE, digest
+from lexmine.llm.spans import TYPE, Reach, digest
 
 KINDS = ["assign", "access", "hex"]
 
@@ -365,7 +365,8 @@ def all_spans(texts: list[str], field: Field | None) -> list[list[dict]]:
     for text, extra in zip(texts, tagged):
         base = base_spans(text)
         spans = [{"kind": k, "start": a, "end": b, "base": True} for k, a, b, _ in base]
-        spans += [{"kind": "crf", "start": a, "end": b, "base": False} for a, b in extra if not any(s < b and a < e for _, s, e, _ in base)]
+        reach = Reach((a, b) for _, a, b, _ in base)
+        spans += [{"kind": "crf", "start": a, "end": b, "base": False} for a, b in extra if reach.before(b) <= a]
         out.append(spans)
     return out
 

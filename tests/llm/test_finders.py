@@ -10,6 +10,7 @@ from lexmine.llm import langid, secrets
 from lexmine.llm.licenses import LEAST, TEMPLATES, anchors, known, scan, templates, window_plan
 from lexmine.llm.pii import Finder, iban_valid, luhn, pii_digest
 from lexmine.llm.secrets import secrets_digest
+from lexmine.llm.spans import Reach
 from tests.llm.frames import columns, documents, edge_docs, edge_rows, empty_docs
 
 # --- personal data ---
@@ -30,6 +31,9 @@ def test_added_spans_against_every_base_span():
             if not covered and not any(s[0] == kind and s[2] > a for s in wanted):
                 wanted.append((kind, a, b, rule))
         assert Finder._uncovered(added, base) == wanted
+        reach = Reach((s[1], s[2]) for s in base)
+        for _, a, b, _ in added:
+            assert (reach.before(b) > a) == any(s[1] < b and a < s[2] for s in base)
 
 
 def test_a_text_with_very_many_spans():
