@@ -14,26 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNDETERMINED = "und"
-# Texts are parsed in blocks of so many characters; a phrase ends with its block. Blocks are parsed side by side.
+# Blocks of so many symbols are parsed side by side; where one block leaves the automaton, the next one enters it.
 BLOCK = 256
 BLOCKS_AT_ONCE = 8192
+# How often blocks that were entered elsewhere are parsed again side by side; what then is still open is parsed in order.
+ROUNDS = 3
 # Letters with a symbol of their own; the rest share SHARED symbols by code point.
 OWN, SHARED = 192, 60
 _BLANK = 0
 
 
 def training_text(labelled: DataFrame, text_col: str, lang_col: str, texts: int, chars: int) -> dict[str, list[str]]:
-    """For each language, the first `chars` characters of `texts` different texts, those whose hash is smallest.
+    """For each language, a window of `chars` characters of `texts` different texts, those whose hash is smallest.
 
-    Rows without a text or a language are left out. Copies count once, so a text that is repeated often does not fill
+    The hash also places the window, so common openings do not fill the sample. Rows without a text or a language are left out. Copies count once, so a text that is repeated often does not fill
     the sample. What reaches the driver is bounded by languages x texts x chars.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna().withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("h")
     chosen = rows.select("lang", "h").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= texts)
+    window = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
     found = (
         rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h")
-        .agg(F.min(F.substring("text", 1, chars)).alias("text"))
+        .agg(F.min(F.substring("text", window, F.lit(chars))).alias("text"))
     )
     sample: dict[str, list[str]] = {}
     for row in sorted(found.collect()):
@@ -116,6 +119,50 @@ class Model:
         kept[1:] |= (found[:-1] != _BLANK) & ~first[1:]
         return found[kept], np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(kept)])[ends]]))
 
+    @staticmethod
+    def _walk(table: np.ndarray, grid: np.ndarray, entered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases that end in each block, and the places in the table where blocks entered at such places are left."""
+        ended, left = np.zeros(len(grid), np.int32), np.empty(len(grid), np.int32)
+        for start in range(0, len(grid), BLOCKS_AT_ONCE):
+            part = slice(start, start + BLOCKS_AT_ONCE)
+            place, count = entered[part], np.zeros(len(entered[part]), np.int32)
+            for column in np.ascontiguousarray(grid[part].T):
+                step = table.take(place + column)
+                count += step & 1
+                place = step >> 1
+            ended[part], left[part] = count, place
+        return ended, left
+
+    def _parsed(self, table: np.ndarray, grid: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The phrases that end in each block when every text is parsed in one piece.
+
+        All blocks are first entered at the start, then again where the block before left off. Parses of different
+        starts soon end their phrases at the same symbols, so after few rounds no block is entered elsewhere than
+        before. Texts that keep shifting (runs of one letter) are finished block by block, so the work stays linear.
+        """
+        entered = np.zeros(len(grid), np.int32)
+        ended, left = self._walk(table, grid, entered)
+        late = np.zeros(0, np.int64)
+        for _ in range(ROUNDS):
+            handed = np.where(heads, 0, np.roll(left, 1)).astype(np.int32)
+            late = np.flatnonzero(handed != entered)
+            if not len(late):
+                return ended
+            entered = handed
+            ended[late], left[late] = self._walk(table, grid[late], handed[late])
+        for block in late.tolist():
+            block += 1
+            while block < len(grid) and not heads[block] and entered[block] != left[block - 1]:
+                entered[block] = place = int(left[block - 1])
+                count = 0
+                for symbol in grid[block].tolist():
+                    step = table.item(place + symbol)
+                    count += step & 1
+                    place = step >> 1
+                ended[block], left[block] = count, place
+                block += 1
+        return ended
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (language x text) and the texts' lengths in symbols."""
         spelt, lengths = self.spelt(texts)
@@ -126,18 +173,11 @@ class Model:
         grid[np.arange(len(spelt)) + np.repeat(first * BLOCK - before, lengths)] = spelt
         grid = grid.reshape(-1, BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
+        heads = np.zeros(len(grid), bool)
+        heads[first[blocks > 0]] = True
         counts = np.zeros((len(self.langs), len(texts)))
-        for start in range(0, len(grid), BLOCKS_AT_ONCE):
-            columns = np.ascontiguousarray(grid[start:start + BLOCKS_AT_ONCE].T)
-            who = owner[start:start + BLOCKS_AT_ONCE]
-            for k, table in enumerate(self.tables):
-                place = np.zeros(len(who), np.int32)
-                ended = np.ones(len(who), np.int32)
-                for column in columns:
-                    step = table.take(place + column)
-                    ended += step & 1
-                    place = step >> 1
-                counts[k] += np.bincount(who, ended, len(texts))
+        for k, table in enumerate(self.tables):
+            counts[k] = np.bincount(owner, self._parsed(table, grid, heads), len(texts)) + (blocks > 0)
         return counts, lengths
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -176,7 +216,7 @@ def identify(df: DataFrame, sample: dict[str, list[str]], text_col: str = "text"
 
     The language whose text needs the fewest phrases per character, each weighed with the bits of a pointer into that
     text, wins; of equals, the first by name. score is the runner-up's cost as a share of both (0.5: a tie; 1 if only
-    one language is known). `und` and 0 if the text is null or has no letter. Whole texts are parsed, in blocks.
+    one language is known). `und` and 0 if the text is null or has no letter. Whole texts are parsed in one piece.
     """
     shared = df.sparkSession.sparkContext.broadcast(tuple((k, tuple(v)) for k, v in sorted(sample.items())))
 

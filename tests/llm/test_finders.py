@@ -150,22 +150,25 @@ def test_secrets_of_documents_and_edge_rows(spark):
 
 
 def phrases(text, reference):
-    count = 0
-    for block in range(0, len(text), langid.BLOCK):
-        part, at = text[block:block + langid.BLOCK], 0
-        while at < len(part):
-            end = at + 1
-            if part[at:end] in reference:
-                while end < len(part) and part[at:end + 1] in reference:
-                    end += 1
-            count, at = count + 1, end
+    count = at = 0
+    while at < len(text):
+        end = at + 1
+        if text[at:end] in reference:
+            while end < len(text) and text[at:end + 1] in reference:
+                end += 1
+        count, at = count + 1, end
     return count
 
 
-def test_phrases_against_plain_search():
-    sample = {"a": ["the cat sat on the mat", "a dog ran"], "b": ["ein hund lief, die katze saß"], "c": ["日本語の文章"]}
+@pytest.mark.parametrize("block", [1, 5, 256])
+def test_phrases_against_plain_search(monkeypatch, block):
+    """Whole texts are parsed in one piece, whatever the blocks; runs of a letter keep blocks from agreeing early."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rng = random.Random(block)
+    sample = {"a": ["the cat sat on the mat", "a dog ran " + "e" * 37], "b": ["ein hund lief, die katze saß"], "c": ["日本語の文章"]}
     model = langid.Model(sample)
-    several = ["the hund saß on ßßß mat", "", "  12 ", "日本 cat", "x" * 700, "die katze " * 100]
+    several = ["the hund saß on ßßß mat", "", "  12 ", "日本 cat", "x" * 700, "die katze " * 100, "e" * 3001, "t" + "e" * 900 + "the"]
+    several += ["".join(rng.choice("the catsdi nßlf") for _ in range(rng.randrange(2000))) for _ in range(20)]
     counts, lengths = model.phrases(several)
     spelt = lambda texts: bytes(model.spelt(texts)[0])
     for k, lang in enumerate(model.langs):
@@ -173,6 +176,15 @@ def test_phrases_against_plain_search():
     assert lengths.tolist() == [len(spelt([t])) for t in several]
 
 
+def test_samples_are_windows_of_whole_texts(spark):
+    texts = [f"opening words {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 60} closing {i}" for i in range(40)] + ["short", None]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
+    found = langid.fit(docs, texts=100, chars=20)["en"]
+    assert len(found) == 41 and "short" in found and all(any(f in t for t in texts if t) for f in found)
+    assert sum(f.startswith("opening words") for f in found) < 10
+    assert langid.fit(docs.repartition(1), texts=100, chars=20)["en"] == found
+
+
 def test_languages_of_held_out_documents(spark):
     docs = documents(spark, "0.01")
     found = {r[0]: r[1:] for r in columns(langid.identify_documents(docs), "doc_id", "held_out", "lang_pred", "score")}
