@@ -18,6 +18,8 @@ from lexmine.llm.shingles import digest, shingle_sets
 # Values of a sketch, and how far below the threshold an estimate from them may lie: four deviations at 64 values.
 K = 64
 MARGIN = 0.2
+# Values of the wider sketches of documents that share lists but are left apart.
+WIDE = 256
 # Documents of a group that a task compares with as many others.
 BLOCK = 512
 
@@ -95,36 +97,57 @@ class Search:
 
     def __init__(self, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
         self.reps, self.percent, self.least = reps, percent, percent / 100 - MARGIN
-        self.lists = settle(self._lists(), "lists")
+        self.lists = settle(self._lists(reps, K), "lists")
         asked = self.lists.select(F.col("rep").alias("id")).distinct()
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked.hint("shuffle_hash"), "id", "left_semi")
         self.sets = settle(full_sets(texts.dropDuplicates(["id"]), "id", "text", words), "sets")
 
-    def _lists(self) -> DataFrame:
-        """value, rep, n_shingles: the values by which a document is found.
+    def _lists(self, sketched: DataFrame, size: int) -> DataFrame:
+        """value, rep, n_shingles: the values by which a document is found, of sketches (rep, n_shingles, sketch) of `size`.
 
         Two sketches of which one's share `least` is in the other meet in the first values of both in any common
         order, past which less than that share is left. Rare values come first, so lists are short; values of only
-        one sketch take their places but need no list.
+        one sketch take their places but need no list. The margin of an estimate narrows with the root of the size;
+        where the sketches of a document and of all that can be similar are whole sets, there is none.
         """
-        values = self.reps.select("rep", "n_shingles", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-        total = self.reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
+        values = sketched.select("rep", "n_shingles", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+        total = sketched.agg(F.sum(F.size("sketch"))).first()[0] or 0
         counts = values.groupBy("value").agg(F.count("*").alias("n_docs")).filter("n_docs > 1")
         shared = salted_join(values, settle(counts, "counts"), ["value"], "n_docs", F.col("rep"), total)
         of_doc = Window.partitionBy("rep")
-        needed = F.greatest(F.lit(1), F.floor(F.col("held") * self.least))
+        least = self.percent / 100 - MARGIN * (K / size) ** 0.5
+        whole = F.expr(f"(n_shingles * {self.percent} + 99) div 100")
+        needed = F.when(F.col("n_shingles") * 100 <= size * self.percent, whole).otherwise(F.floor(F.col("held") * least))
         placed = shared.withColumn("alone", F.col("held") - F.count("*").over(of_doc)).withColumn(
             "place", F.col("alone") + F.row_number().over(of_doc.orderBy("n_docs", "value")))
-        return placed.filter(F.col("place") <= F.col("held") - needed + 1).select("value", "rep", "n_shingles")
+        return placed.filter(F.col("place") <= F.col("held") - F.greatest(F.lit(1), needed) + 1).select("value", "rep", "n_shingles")
+
+    def _wider(self, asked: DataFrame) -> DataFrame:
+        """rep, n_shingles and sketch (the WIDE smallest hashes) of the documents `asked` (rep)."""
+        kind = asked.schema["rep"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [np.frombuffer(p.as_py(), np.int64) for p in batch.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:WIDE] for s in sets], pa.list_(pa.int64()))],
+                    ["rep", "n_shingles", "sketch"])
+
+        return self.sets.withColumnRenamed("id", "rep").join(asked, "rep", "left_semi").mapInArrow(
+            run, f"rep {kind}, n_shingles long, sketch array<long>")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links (a, b) among pairs: first by the sketch of the union, then on whole sets."""
-        one = self.reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
+        pairs = settle(pairs, "pairs")
+        total, hubs = pairs.count(), settle(pairs.groupBy("a").agg(F.count("*").alias("n_pairs")), "hubs")
+        one = self.reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")).join(hubs, "a")
         two = self.reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
         joined = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
         both = F.array_intersect(joined, F.array_intersect("sketch_a", "sketch_b"))
-        near = pairs.join(one, "a").join(two, "b").filter(F.size(both) >= F.lit(self.least) * F.size(joined)).select("a", "b")
-        near = near.join(self.sets.select(F.col("id").alias("a"), F.col("packed").alias("set_a")), "a")
+        near = salted_join(pairs, one, ["a"], "n_pairs", F.col("b"), total).join(two, "b")
+        near = near.filter(F.size(both) >= F.lit(self.least) * F.size(joined)).select("a", "b")
+        sets = self.sets.select(F.col("id").alias("a"), F.col("packed").alias("set_a")).join(hubs, "a")
+        near = salted_join(near, sets, ["a"], "n_pairs", F.col("b"), total).drop("n_pairs")
         near = near.join(self.sets.select(F.col("id").alias("b"), F.col("packed").alias("set_b")), "b")
         found = near.select(
             "a", "b", _overlap("set_a", "set_b").alias("same"), ((F.length("set_a") + F.length("set_b")) / 8).cast("long").alias("sizes"))
@@ -139,20 +162,39 @@ class Search:
         near_in_size = F.least("n", "n_shingles") * 100 >= F.greatest("n", "n_shingles") * self.percent
         return self.verified(pairs.filter("a <> b").filter(near_in_size).select("a", "b").distinct())
 
-    def rest(self, known: DataFrame) -> DataFrame:
-        """A forest of the links between documents that share a list and that `known` does not connect.
+    @staticmethod
+    def _apart(lists: DataFrame, known: DataFrame) -> DataFrame:
+        """part, rep, component of the documents whose lists `known` leaves in several connected parts.
 
-        Lists with one connected part are done. The others are put together by their largest part; of such a group,
-        the documents outside that part are compared with all. They are dealt in blocks, and a task answers with a
-        forest of the links that it finds, so no pairs are made into rows.
+        Lists with one part are done. The others are put together by their largest part, `part`.
         """
-        members = self.lists.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(
+        members = lists.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(
             "value", "rep", F.coalesce("component", "rep").alias("component"))
         members = settle(members, "members")
         parts = members.groupBy("value", "component").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("value").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        grouped = settle(
-            members.join(largest.select("value", F.col("top.component").alias("part")), "value").select("part", "rep", "component").distinct(), "grouped")
+        largest = parts.groupBy("value").agg(
+            F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_docs"), F.count("*").alias("parts")).filter("parts > 1")
+        largest = settle(largest.select("value", F.col("top.component").alias("part"), "n_docs"), "largest")
+        met = salted_join(members, largest, ["value"], "n_docs", F.col("rep"), members.count())
+        return settle(met.select("part", "rep", "component").distinct(), "grouped")
+
+    def open_groups(self, known: DataFrame) -> DataFrame:
+        """part, rep, component: the groups in which documents are yet to be compared.
+
+        A passage that many documents share fills their lists, although no two of them may be similar. So what the
+        lists leave apart gets lists anew, from wider sketches: the wider, the more of a document the passage has to be.
+        """
+        asked = self._apart(self.lists, known).select("rep").distinct()
+        wide = settle(self._wider(asked), "wide")
+        return self._apart(settle(self._lists(wide, WIDE), "lists"), known)
+
+    def rest(self, known: DataFrame) -> DataFrame:
+        """A forest of the links between documents that share a list and that `known` does not connect.
+
+        Of each open group, the documents outside its part are compared with all. They are dealt in blocks, and a task
+        answers with a forest of the links that it finds, so no pairs are made into rows.
+        """
+        grouped = self.open_groups(known)
         outside = F.col("component") != F.col("part")
         blocks = grouped.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("m_blocks"), F.ceil(F.count_if(outside) / BLOCK).alias("q_blocks"))
         roles = grouped.select("*", F.explode(F.when(outside, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("member"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmine.llm import neardup
 from lexmine.llm.common import components
 from lexmine.llm.exact import build_index, directory, exact_dedup, routed
 from lexmine.llm.neardup import near_duplicates
@@ -197,6 +198,38 @@ def test_chains_groups_and_shared_passages(spark):
         assert near_found(spark, rows, n) == near_wanted(rows, n)
 
 
+def test_documents_with_a_common_passage_are_not_compared_in_pairs(spark, monkeypatch):
+    """5,000 texts of which seven tenths are one passage: none is similar to another, but for one copy of every 50th."""
+    rng, compared = random.Random(1), []
+    common = " ".join(f"c{i}" for i in range(70))
+    texts = [" ".join([*(f"w{rng.randrange(10**7)}" for _ in range(15)), common, *(f"w{rng.randrange(10**7)}" for _ in range(15))]) for _ in range(5000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10000 + i, t + " more") for i, t in enumerate(texts) if i % 50 == 0]
+    open_groups = neardup.Search.open_groups
+
+    def counted(self, known):
+        found = open_groups(self, known)
+        compared.append(sum(n * n for _, n in found.groupBy("part").count().collect()))
+        return found
+
+    monkeypatch.setattr(neardup.Search, "open_groups", counted)
+    found = {r[0]: r[2] for r in near_found(spark, rows, 4)}
+    assert found == {i: i - 10000 if i >= 10000 else i for i, _ in rows}
+    assert compared[0] < 20 * len(rows)
+
+
+@pytest.mark.parametrize(("wide", "n"), [(16, 4), (40, 2), (256, 5)])
+def test_wider_lists_lose_no_link(spark, monkeypatch, wide, n):
+    """Texts of many sizes around one passage, some similar, whether or not their wider sketches are whole sets."""
+    monkeypatch.setattr(neardup, "WIDE", max(wide, neardup.K))
+    rng = random.Random(wide)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        cut = rng.randrange(120)
+        rows.append((i, " ".join([*common[:cut], *(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30))), *common[cut:][:rng.randrange(60, 121)]])))
+    assert near_found(spark, rows, n) == near_wanted(rows, n)
+
+
 def test_near_duplicates_of_edge_rows(spark):
     found = [tuple(r) for r in near_duplicates(edge_docs(spark)).collect()]
     assert len(found) == len(edge_rows())
