@@ -43,15 +43,26 @@ def keep_keyword(keyword: Column) -> Column:
     return length_ok(keyword) & words_ok(keyword) & ~is_all_stopwords(keyword) & ~is_low_value(keyword)
 
 
+def repeats_merged(df: DataFrame) -> DataFrame:
+    """Rows that differ in ``seq`` alone, as the one of least seq; rows without a seq stay apart from those with one.
+
+    A hash aggregate of fixed-size state. Aggregates of strings or sets sort their whole input from the 129th key on, so
+    they should be given what this leaves.
+    """
+    others = [c for c in df.columns if c != "seq"]
+    merged = df.groupBy(*others, F.col("seq").isNull().alias("_unnumbered")).agg(F.min("seq").alias("seq"))
+    return merged.select(*df.columns)
+
+
 def merge_duplicates(df: DataFrame, scope: str = "root_keyword", merge_channel: bool = False) -> DataFrame:
     """One row per keyword in its scope: the first record by ``seq``, with all source tags merged.
 
-    One aggregate with map-side combine: a keyword that fills a third of the table shrinks to its distinct tags
-    before the shuffle. ``merge_channel`` also merges the channels (off: the first record's channel stays).
+    Two aggregates with map-side combine: rows that differ in ``seq`` alone become one, then those of a keyword do.
+    Neither shuffles all rows of a keyword that fills a third of the table to one task. ``merge_channel`` also merges the channels (off: the first record's channel stays).
     """
     merged = ["source", "channel"] if merge_channel else ["source"]
     rest = [c for c in df.columns if c not in {scope, "keyword", *merged}]
-    out = df.groupBy(scope, "keyword").agg(
+    out = repeats_merged(df).groupBy(scope, "keyword").agg(
         F.min_by(F.struct(*rest), "seq").alias("_first"),
         *[F.array_join(F.sort_array(F.collect_set(c)), "|").alias(c) for c in merged],
     )

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from lexmine.operators.cleaning import is_all_stopwords, is_low_value, length_ok, normalized, once, words_ok
+from lexmine.operators.cleaning import is_all_stopwords, is_low_value, length_ok, normalized, once, repeats_merged, words_ok
 from lexmine.session import cut_lineage
 from lexmine.sinks import landing
 
@@ -23,7 +23,7 @@ def state(records: DataFrame) -> DataFrame:
     keyword = F.col("keyword")
     sized = normalized(records).where(length_ok(keyword) & words_ok(keyword))
     rest = [c for c in records.columns if c not in {*KEYS, "source", "seq"}]
-    return sized.groupBy(*KEYS).agg(F.min(F.struct("seq", *rest)).alias("first"), F.collect_set("source").alias("sources"))
+    return repeats_merged(sized).groupBy(*KEYS).agg(F.min(F.struct("seq", *rest)).alias("first"), F.collect_set("source").alias("sources"))
 
 
 def merge(*states: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from lexmine.operators import increment
+from lexmine.operators.cleaning import merge_duplicates, repeats_merged
 from lexmine.operators.joins import salted_filter, salted_join
+from tests.helpers import keyword_frame
 
 
 def test_copies_of_keys_are_not_broadcast(spark, capsys):
@@ -14,3 +17,17 @@ def test_copies_of_keys_are_not_broadcast(spark, capsys):
         join.explain("simple")
         plan = capsys.readouterr().out
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_repeats_are_merged_by_hashing(spark, capsys):
+    frame = keyword_frame(spark, ["abc"] * 3).withColumn("source", F.lit("s"))
+    frame = frame.unionByName(frame.withColumn("seq", F.lit(None).cast("long")))
+    assert sorted((r.keyword, r.seq) for r in repeats_merged(frame).where("seq IS NOT NULL").collect()) == [("abc", 0)]
+    assert repeats_merged(frame).count() == 2
+    (row,) = merge_duplicates(frame).collect()
+    assert (row.seq, row.source, row.title) == (0, "s", "")
+    (first,) = increment.state(frame).select("first.seq").collect()
+    assert first.seq is None
+    for made in (merge_duplicates(frame), increment.state(frame)):
+        made.explain("simple")
+        assert "HashAggregate(keys=[root_keyword" in capsys.readouterr().out.replace("ObjectHashAggregate", "")

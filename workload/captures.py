@@ -8,6 +8,11 @@ from lexmine import rules
 from workload.templates import COLLECTED_AT, SUGGESTIONS, TITLES
 
 
+# What labels, counts, clusters and reports need of a record. Cleaning merges rows by all their columns, so those that a
+# query does not need are left out before it.
+NARROW = ["root_keyword", "seq", "keyword", "source"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

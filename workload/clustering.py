@@ -11,12 +11,18 @@ from lexmine.plans.analysis import analyze
 from lexmine.session import cut_lineage
 from lexmine.sinks.files import conform
 from workload import sql_base as s
-from workload.captures import records, table
+from workload.captures import NARROW, records, table
 from workload.labelling import RECORD
 from workload.registry import query
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords with their labels; of the records' own columns only NARROW."""
+    return analyze(records(spark, sf_dir).select(*NARROW))
+
+
+def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords with their labels and all columns of the records."""
     return analyze(records(spark, sf_dir))
 
 
@@ -50,7 +56,7 @@ tf AS (SELECT root_keyword, keyword, gram, count(*) AS tf FROM grams GROUP BY AL
 @query("char_ngrams", f"WITH {GRAMS_SQL} SELECT root_keyword, gram, sum(tf)::BIGINT AS n, count(*) AS keywords FROM tf GROUP BY ALL")
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each gram in each root's keywords."""
-    counts = features.gram_counts(clean(records(spark, sf_dir))).where(F.col("gram").isNotNull())
+    counts = features.gram_counts(clean(records(spark, sf_dir).select(*NARROW))).where(F.col("gram").isNotNull())
     return counts.groupBy("root_keyword", "gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("keywords"))
 
 
@@ -67,7 +73,7 @@ SELECT root_keyword, gram, count(*) AS keywords, round(sum(w), 6) AS weight, rou
 FROM scaled GROUP BY ALL""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit-length TF-IDF of every keyword, summed up per gram."""
-    rows = features.tfidf(cut_lineage(clean(records(spark, sf_dir)).select("root_keyword", "keyword")))
+    rows = features.tfidf(cut_lineage(clean(records(spark, sf_dir).select(*NARROW)).select("root_keyword", "keyword")))
     terms = rows.select("root_keyword", F.inline("terms"))
     return terms.groupBy("root_keyword", "gram").agg(
         F.count(F.lit(1)).alias("keywords"), F.round(F.sum("weight"), 6).alias("weight"),
@@ -82,7 +88,7 @@ vocab AS (
 SELECT tf.root_keyword, keyword, count(vocab.gram) AS terms FROM tf LEFT JOIN vocab USING (root_keyword, gram) GROUP BY ALL""")
 def tfidf_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of every keyword with a vocabulary of 12 grams a root; many keywords have none."""
-    rows = features.tfidf(cut_lineage(clean(records(spark, sf_dir)).select("root_keyword", "keyword")), max_features=12)
+    rows = features.tfidf(cut_lineage(clean(records(spark, sf_dir).select(*NARROW)).select("root_keyword", "keyword")), max_features=12)
     return rows.select("root_keyword", "keyword", F.size("terms").cast("bigint").alias("terms"))
 
 
@@ -213,7 +219,7 @@ def global_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("concat_roots", f"""WITH {s.labelled_cte()}
 SELECT {RECORD}, NULL AS keyword_type FROM records UNION ALL SELECT {RECORD}, keyword_type FROM labelled""")
 def concat_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = labelled(spark, sf_dir).drop("search_intent", "commercial_value", "page_type")
+    found = labelled_records(spark, sf_dir).drop("search_intent", "commercial_value", "page_type")
     return reports.concat_roots(records(spark, sf_dir), found)
 
 
@@ -222,4 +228,4 @@ SELECT keyword, root_keyword, source, channel, keyword_type, search_intent, page
        language, country, strftime(collected_at, '%Y-%m-%dT%H:%M:%S') AS collected_at, '' AS cluster_id, '' AS cluster_label, seq
 FROM labelled""")
 def conform_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(labelled(spark, sf_dir))
+    return conform(labelled_records(spark, sf_dir))

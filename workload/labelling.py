@@ -8,7 +8,7 @@ from lexmine.functions.text import fold, normalize
 from lexmine.operators import cleaning, labels
 from lexmine.plans import analysis
 from workload import sql_base as s
-from workload.captures import records
+from workload.captures import NARROW, records
 from workload.registry import query
 
 RECORD = "root_keyword, seq, keyword, source, channel, title, description, url, language, country, collected_at"
@@ -71,7 +71,7 @@ def clean_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = cleaning.clean(records(spark, sf_dir)).select("root_keyword", "keyword")
+    kept = cleaning.clean(records(spark, sf_dir).select(*NARROW)).select("root_keyword", "keyword")
     return kept.withColumn("m", fold(F.col("keyword")))
 
 
@@ -128,7 +128,7 @@ def commercial_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_type", f"""WITH {s.labelled_cte()}
 SELECT root_keyword, keyword, keyword_type, search_intent, page_type FROM labelled""")
 def page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = analysis.analyze(records(spark, sf_dir))
+    labelled = analysis.analyze(records(spark, sf_dir).select(*NARROW))
     return labelled.select("root_keyword", "keyword", "keyword_type", "search_intent", "page_type")
 
 

@@ -18,7 +18,7 @@ from lexmine.session import cut_lineage, shared_folder
 from lexmine.sinks import files, landing
 from lexmine.sources import attempts, frontier
 from workload import sql_base as s
-from workload.captures import records, spread, table
+from workload.captures import NARROW, records, spread, table
 from workload.labelling import RECORD
 from workload.registry import query
 from workload.requesting import QUOTED, ROOTS_SQL, roots
@@ -226,7 +226,7 @@ def classify_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every different keyword against one root per part: the second word of its name and its number."""
     part = table(spark, sf_dir, "part").select("p_name", "p_partkey")
     given = part.select(F.concat_ws(" ", F.split("p_name", " ")[1], F.col("p_partkey").cast("string")).alias("root_keyword"))
-    return root_table.classify(cut_lineage(clean(records(spark, sf_dir)).select("keyword").distinct()), given)
+    return root_table.classify(cut_lineage(clean(records(spark, sf_dir).select(*NARROW)).select("keyword").distinct()), given)
 
 
 @query("clean_incremental", f"WITH {s.clean_cte()} SELECT {RECORD} FROM cleaned")
@@ -246,7 +246,7 @@ SELECT root_keyword, keyword, keyword_type, commercial_value, row_number() OVER
 FROM labelled WHERE keyword_type <> 'Low Intent / Negative Keyword'""")
 def export_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row of every keyword in the ordered export of the final map."""
-    final = final_keyword_map(analyze(records(spark, sf_dir)), sort=False)
+    final = final_keyword_map(analyze(records(spark, sf_dir).select(*NARROW)), sort=False)
     wanted = final.select("root_keyword", "keyword", "keyword_type", "commercial_value")
     return with_positions(wanted, *map_order())
 
@@ -258,7 +258,7 @@ FROM (SELECT CASE WHEN length(keyword) % 7 = 0 THEN keyword ELSE root_keyword EN
 def cluster_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every root's numbers of clusters and components; keywords of some lengths are small roots of their own."""
     root = F.when(F.length("keyword") % 7 == 0, F.col("keyword")).otherwise(F.col("root_keyword"))
-    return clusters.limits(analyze(records(spark, sf_dir)).withColumn("root_keyword", root))
+    return clusters.limits(analyze(records(spark, sf_dir).select(*NARROW)).withColumn("root_keyword", root))
 
 
 def _cell(text: str) -> str:
