@@ -1,10 +1,12 @@
-"""What large tables need."""
+"""What large tables need: copies of keys that are not broadcast, repeats merged by hashing, pages parsed piece by piece."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmine.operators import increment
 from lexmine.operators.cleaning import merge_duplicates, repeats_merged
 from lexmine.operators.joins import salted_filter, salted_join
+from lexmine.sources import dom
 from tests.helpers import keyword_frame
 
 
@@ -31,3 +33,18 @@ def test_repeats_are_merged_by_hashing(spark, capsys):
     for made in (merge_duplicates(frame), increment.state(frame)):
         made.explain("simple")
         assert "HashAggregate(keys=[root_keyword" in capsys.readouterr().out.replace("ObjectHashAggregate", "")
+
+
+def test_pages_are_parsed_piece_by_piece(spark, monkeypatch):
+    pages = pa.array(["aaaa", None, "bb", "c" * 30, "", "dd"])
+    monkeypatch.setattr(dom, "PIECE_BYTES", 6)
+    pieces = list(dom._pieces(pages))
+    assert pieces == [slice(0, 3), slice(3, 4), slice(4, 6)]
+    assert list(dom._pieces(pa.array([], pa.string()))) == [slice(0, 0)]
+    monkeypatch.undo()
+    body = F.concat(F.lit("<b>"), F.repeat(F.lit("x"), F.lit(300_000)), F.lit("</b><i>"), F.col("id").cast("string"), F.lit("</i>"))
+    rows = spark.range(0, 24, 1, 2).select("id", F.when(F.col("id") % 5 > 0, body).alias("body"))
+    wanted = [("i", None, None)]
+    for els in (dom.elements(F.col("body"), wanted), dom.elements_by(F.lit("k"), F.col("body"), {"k": wanted})):
+        got = {r.id: r.text for r in rows.select("id", els["text"].alias("text")).collect()}
+        assert got == {i: [str(i)] if i % 5 else None for i in range(24)}
