@@ -14,7 +14,7 @@ from lexmine.session import cut_lineage
 
 
 def analyze(records: DataFrame) -> DataFrame:
-    """Clean and label: one lazy plan with one shuffle."""
+    """Clean and label: one lazy plan with the two shuffles of cleaning."""
     return label(clean(records))
 
 
