@@ -198,6 +198,24 @@ def test_words_equal_the_library(vocabulary, library):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == plain_ids(library, text), repr(text)
 
 
+def test_words_of_latin_letters_are_merged_without_the_rest_of_the_library(vocabulary, library):
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]]
+    marks = [chr(c) for c in range(0x21, 0x7F)]
+    odd = ["Å", "K", "ẞ", "İ", "i̇", "e\u0301", "ſt", "Ⱥ", "ß", "·", "\u00ad", "\x7f", "²", "٣", "ǅ", "'s", "l'été", "<|endoftext|>"]
+    words, rng = Words(vocabulary), random.Random(13)
+    mixed = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(2000)]
+    for piece in [*letters, *marks, *odd, *mixed, *["".join(rng.choices(marks, k=3)) for _ in range(500)]]:
+        for text in (piece, f"a{piece}", f"{piece}b"):
+            assert np.frombuffer(words.ask(text), "<u4").tolist() == plain_ids(library, text), text
+
+    class Silent:
+        def encode(self, *args, **kwargs):
+            raise AssertionError(args)
+
+    words.library = Silent()
+    assert words.encode("A newword1, Étéxx über; (žluťoučký) kůň")
+
+
 def test_words_of_long_texts(vocabulary, library, monkeypatch):
     from lexmine.llm import bestfit
 
