@@ -27,7 +27,7 @@ FAN_IN = 16  # answers added up at once
 SALTS = 32  # copies of the state of a root with many chunks
 SAMPLE_ROWS = 1024  # points of a root among which k-means starts are drawn
 REFINE = 10  # moves of the starts within that sample
-BLOCK_ROWS = 256  # rows turned into a dense block at a time
+BLOCK_ROWS = 2048  # rows whose entries are multiplied at a time
 OVERSAMPLE = 10
 POWER_STEPS = 4
 TOLERANCE = 1e-4
@@ -46,24 +46,35 @@ def pack(frame: pd.DataFrame) -> dict:
     }
 
 
-def blocks(chunk: dict, width: int) -> Iterator[np.ndarray]:
-    """Dense blocks of a chunk's rows."""
+def blocks(chunk: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The entries of some of a chunk's rows at a time: the row, counted from 0 in each block, the column and the weight."""
     ends = np.concatenate([[0], np.cumsum(chunk["lengths"])])
     for start in range(0, len(chunk["lengths"]), BLOCK_ROWS):
         lengths = chunk["lengths"][start:start + BLOCK_ROWS]
         part = slice(ends[start], ends[start + len(lengths)])
-        dense = np.zeros((len(lengths), width))
-        dense[np.repeat(np.arange(len(lengths)), lengths), chunk["idx"][part]] = chunk["weight"][part]
-        yield dense
+        yield np.repeat(np.arange(len(lengths)), lengths), chunk["idx"][part], chunk["weight"][part]
+
+
+def gathered(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of values that have the same place, for places 0 to n - 1."""
+    return np.stack([np.bincount(places, weights=column, minlength=n) for column in values.T], axis=1)
 
 
 def scores(chunk: dict, basis: np.ndarray) -> np.ndarray:
-    return np.vstack([block @ basis for block in blocks(chunk, len(basis))])
+    """The rows times the basis, from their entries alone: rows have tens of entries among thousands of columns."""
+    out = np.zeros((len(chunk["lengths"]), basis.shape[1]))
+    for start, (rows, columns, weights) in zip(range(0, len(out), BLOCK_ROWS), blocks(chunk)):
+        part = out[start:start + BLOCK_ROWS]
+        part[:] = gathered(rows, basis[columns] * weights[:, None], len(part))
+    return out
 
 
 def gram_product(chunk: dict, basis: np.ndarray) -> np.ndarray:
     """X'X times the basis, for the rows given."""
-    return sum(block.T @ (block @ basis) for block in blocks(chunk, len(basis)))
+    projected, out = scores(chunk, basis), np.zeros_like(basis)
+    for start, (rows, columns, weights) in zip(range(0, len(projected), BLOCK_ROWS), blocks(chunk)):
+        out += gathered(columns, projected[start + rows] * weights[:, None], len(basis))
+    return out
 
 
 def start_basis(width: int, rank: int, seed: int) -> np.ndarray:

@@ -5,7 +5,9 @@ import glob
 import itertools
 import os
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,21 @@ def test_limits_of_every_root(spark):
         k = clusters.cluster_count(n)
         assert got[f"r{n}"] == (n, k, clusters.component_count(n, k))
     assert got["r1"] == (1, 1, 0) and got["r2"] == (2, 1, 0)
+
+
+def test_products_of_sparse_rows_take_no_dense_rows():
+    from lexmine.operators.cluster_fit import gram_product, scores
+
+    rng = np.random.default_rng(3)
+    lengths, width = rng.integers(0, 6, 3000), 20_000
+    idx = np.concatenate([rng.choice(width, n, replace=False) for n in lengths]).astype(np.int64)
+    chunk, basis = {"lengths": lengths, "idx": idx, "weight": rng.random(len(idx))}, rng.standard_normal((width, 3))
+    dense = np.zeros((len(lengths), width), np.float32)
+    dense[np.repeat(np.arange(len(lengths)), lengths), idx] = chunk["weight"]
+    assert np.allclose(scores(chunk, basis), dense @ basis, atol=1e-5)
+    assert np.allclose(gram_product(chunk, basis), dense.T @ (dense @ basis), atol=1e-4)
+    tracemalloc.start()
+    gram_product(chunk, basis)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
