@@ -36,17 +36,25 @@ def script_names(els: Column) -> Column:
     """``name`` of the object, or of each object of the list, in every JSON script; a bad script is skipped."""
     scripts = select(els, lambda e: SCRIPT(e) & (e["attrs"]["type"] == "application/json"))
 
-    def names(e: Column) -> Column:
-        data = F.try_parse_json(e["text"])
+    # Each step is a transform of its own, so that what it names is computed once: a payload is parsed once.
+    parsed = F.transform(scripts, lambda e: F.try_parse_json(e["text"]))
+
+    def objects(data: Column) -> Column:
         items = F.when(_kind(data).startswith("ARRAY"), F.try_variant_get(data, "$", "array<variant>"))
-        items = F.coalesce(items, F.array(data))
+        return F.coalesce(items, F.array(data))
+
+    def read(x: Column) -> Column:
         # Something that is not an object, or a name that is not text, ends its script.
-        bad = F.array_position(F.transform(items, lambda x: ~_kind(x).startswith("OBJECT") | (
-            ~_kind(F.try_variant_get(x, "$.name", "variant")).isin("STRING", "VOID"))), True)
-        good = F.when(bad > 0, F.slice(items, F.lit(1), (bad - 1).cast("int"))).otherwise(items)
-        return F.transform(good, lambda x: F.try_variant_get(x, "$.name", "string"))
+        bad = ~_kind(x).startswith("OBJECT") | (~_kind(F.try_variant_get(x, "$.name", "variant")).isin("STRING", "VOID"))
+        return F.struct(bad.alias("bad"), F.try_variant_get(x, "$.name", "string").alias("name"))
+
+    def names(items: Column) -> Column:
+        bad = F.array_position(items["bad"], True)
+        return F.when(bad > 0, F.slice(items["name"], F.lit(1), (bad - 1).cast("int"))).otherwise(items["name"])
 
-    return F.filter(F.flatten(F.transform(scripts, names)), lambda t: t.isNotNull() & (t != ""))
+    listed = F.transform(parsed, objects)
+    named = F.transform(F.transform(listed, lambda items: F.transform(items, read)), names)
+    return F.filter(F.flatten(named), lambda t: t.isNotNull() & (t != ""))
 
 
 def alibaba_title_rows(els: Column) -> Column:

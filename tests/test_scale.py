@@ -140,3 +140,12 @@ def test_products_of_sparse_rows_take_no_dense_rows():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10e6
+
+
+def test_scripts_of_a_page_are_parsed_once(spark):
+    from lexmine.sources.dom import ELEMENT_TYPE
+    from lexmine.sources.markets import script_names
+
+    asked = spark.createDataFrame([(None,)], f"els {ELEMENT_TYPE}").select(script_names(F.col("els")).alias("names"))
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1
