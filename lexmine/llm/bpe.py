@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmine.llm.common import held
+
 # Entries of a worker's memories of pieces and of pairs, which are emptied beyond them. Results do not depend on it.
 MEMORY = 400_000
 PAIRS = 150_000
@@ -203,10 +205,9 @@ class Codec:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def _codec(ranks: bytes, pattern: str, memory: int = MEMORY, pairs: int = PAIRS) -> Codec:
     """One per worker process, kept over its tasks."""
-    return Codec(ranks, pattern, memory, pairs)
+    return held(Codec, ranks, pattern, memory, pairs)
 
 
 def _mapped(df: DataFrame, ranks: bytes, pattern: str, schema: str, columns) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,20 @@ from pyspark.sql import functions as F
 
 from lexmine.session import shared_folder
 
+_held: list = []
+
+
+def held(make: Callable, *key) -> Any:
+    """make(*key), kept by this worker process until another is asked for; that one is made once this one is gone.
+
+    Spark reuses workers, so what each operator, or each run with a sample of its own, kept for itself would add up.
+    """
+    if not _held or _held[0] != (make, key):
+        _held.clear()
+        _held[:] = [(make, key), make(*key)]
+    return _held[1]
+
+
 def _home(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
 

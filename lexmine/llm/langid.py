@@ -5,18 +5,22 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmine.llm.common import held
+
 UNDETERMINED = "und"
 # Blocks of so many symbols are parsed side by side; where one block leaves the automaton, the next one enters it.
 BLOCK = 256
 BLOCKS_AT_ONCE = 8192
+# Bytes of text that a worker parses together; a longer text is parsed by itself.
+BYTES_AT_ONCE = 1 << 20
 # How often blocks that were entered elsewhere are parsed again side by side; what then is still open is parsed in order.
 ROUNDS = 3
 # Letters with a symbol of their own; the rest share SHARED symbols by code point.
@@ -75,7 +79,7 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """A transition table per language. Its size is languages x about 1.5 x sample characters x alphabet x 4 bytes."""
+    """A transition table per language. Its size is about 1.5 x sample characters x the language's own alphabet x 4 bytes."""
 
     def __init__(self, sample: dict[str, list[str]]):
         self.langs = sorted(sample)
@@ -90,21 +94,29 @@ class Model:
                 low = c.lower()
                 low = low if len(low) == 1 else c
                 self.symbol[point] = own.get(low) or 1 + len(own) + ord(low) % SHARED
-        self.tables, self.bits = [], []
+        self.tables, self.columns, self.bits = [], [], []
         for lang in self.langs:
             spelt, _ = self.spelt(sample[lang])
             follow = automaton(spelt.tolist())
-            # Where each symbol leads, in table places, doubled; odd if a phrase ends before it. The last state is where
+            # Only the sample's own symbols have a column each; all that the language lacks share one, padding has the last.
+            own = sorted(follow[0])
+            width = len(own) + 2
+            columns = np.full(self.width, len(own), np.uint8)
+            columns[own] = np.arange(len(own))
+            columns[self.pad] = width - 1
+            # Where each column leads, in table places, doubled; odd if a phrase ends before it. The last state is where
             # a symbol that the language lacks leads: a phrase by itself.
-            table = np.full((len(follow) + 1, self.width), len(follow) * self.width * 2 + 1, np.int32)
+            table = np.full((len(follow) + 1, width), len(follow) * width * 2 + 1, np.int32)
             table[0] -= 1
+            column = columns.tolist()
             for symbol, state in follow[0].items():
-                table[1:, symbol] = state * self.width * 2 + 1
+                table[1:, column[symbol]] = state * width * 2 + 1
             for state, steps in enumerate(follow):
                 for symbol, target in steps.items():
-                    table[state, symbol] = target * self.width * 2
-            table[:, self.pad] = np.arange(len(table)) * self.width * 2
+                    table[state, column[symbol]] = target * width * 2
+            table[:, -1] = np.arange(len(table)) * width * 2
             self.tables.append(table.ravel())
+            self.columns.append(columns)
             self.bits.append(math.log2(max(2, len(spelt))))
 
     def spelt(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,15 +181,14 @@ class Model:
         blocks = -(-lengths // BLOCK)
         first = np.cumsum(blocks) - blocks
         grid = np.full(int(blocks.sum()) * BLOCK, self.pad, np.uint8)
-        before = np.cumsum(lengths) - lengths
-        grid[np.arange(len(spelt)) + np.repeat(first * BLOCK - before, lengths)] = spelt
+        grid[np.repeat(np.tile([True, False], len(texts)), np.stack([lengths, blocks * BLOCK - lengths], 1).ravel())] = spelt
         grid = grid.reshape(-1, BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
         heads = np.zeros(len(grid), bool)
         heads[first[blocks > 0]] = True
         counts = np.zeros((len(self.langs), len(texts)))
         for k, table in enumerate(self.tables):
-            counts[k] = np.bincount(owner, self._parsed(table, grid, heads), len(texts)) + (blocks > 0)
+            counts[k] = np.bincount(owner, self._parsed(table, self.columns[k][grid], heads), len(texts)) + (blocks > 0)
         return counts, lengths
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -195,12 +206,21 @@ class Model:
         )
 
 
-@lru_cache(maxsize=2)
 def _model(sample: tuple) -> Model:
-    """One per worker process, kept over its tasks."""
     return Model({lang: list(texts) for lang, texts in sample})
 
 
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, about BYTES_AT_ONCE of them together, whatever an Arrow batch holds."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        most = BYTES_AT_ONCE + (ends[first - 1] if first else 0)
+        last = max(first + 1, int(np.searchsorted(ends, most, "right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
 def fit(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = 64, chars: int = 400,
 ) -> dict[str, list[str]]:
@@ -222,11 +242,11 @@ def identify(df: DataFrame, sample: dict[str, list[str]], text_col: str = "text"
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(shared.value)
+        model = held(_model, shared.value)
         for batch in batches:
             langs, scores = [], []
-            for start in range(0, len(batch), 1024):
-                found = model.predict(batch.slice(start, 1024).to_pylist())
+            for piece in _pieces(batch):
+                found = model.predict(piece.to_pylist())
                 langs += found[0]
                 scores += found[1]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])

@@ -1,12 +1,16 @@
+import base64
 import hashlib
 import itertools
 import random
 import re
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexmine.llm import langid, secrets
+from lexmine.llm import bpe, langid, secrets
+from lexmine.llm.common import held
 from lexmine.llm.licenses import LEAST, TEMPLATES, anchors, known, scan, templates, window_plan
 from lexmine.llm.pii import Finder, iban_valid, luhn, pii_digest
 from lexmine.llm.secrets import secrets_digest
@@ -176,6 +180,44 @@ def test_phrases_against_plain_search(monkeypatch, block):
     assert lengths.tolist() == [len(spelt([t])) for t in several]
 
 
+def test_a_language_has_columns_for_its_own_letters_only():
+    sample = {"a": ["the cat sat on the mat"], "b": ["".join(map(chr, range(0x4E00, 0x4E00 + 150)))]}
+    alone, both = langid.Model({"a": sample["a"]}), langid.Model(sample)
+    assert both.tables[0].tolist() == alone.tables[0].tolist()
+    several = ["the cat", "hat \u4e05\u4e06 mat", "\u4e05\u4e06\u4e07", "zzz", ""]
+    spelt = lambda texts: bytes(both.spelt(texts)[0])
+    assert both.phrases(several)[0][0].tolist() == [phrases(spelt([t]), spelt(sample["a"])) for t in several]
+
+
+def test_a_worker_holds_one_model():
+    """A model, or a vocabulary, of another sample or operator is made once the one before is gone."""
+    ranks = b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256))
+    samples = [(("a", ("the cat",)),), (("a", ("die katze",)),)]
+    makers = [lambda: held(langid._model, samples[0]), lambda: held(langid._model, samples[1]), lambda: bpe._codec(ranks, "."), lambda: held(langid._model, samples[0])]
+    for make, other in zip(makers, makers[1:]):
+        first = make()
+        assert make() is first
+        gone = weakref.ref(first)
+        del first
+        other()
+        assert gone() is None
+    seen = weakref.ref(held(langid._model, samples[0]))
+    assert held(lambda: [seen()]) == [None]
+
+
+def test_texts_are_parsed_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BYTES_AT_ONCE", 6)
+    texts = ["aaaa", None, "bb", "c" * 30, "", "dd"]
+    assert [p.to_pylist() for p in langid._pieces(pa.array(texts))] == [texts[:3], texts[3:4], texts[4:]]
+    assert [p.to_pylist() for p in langid._pieces(pa.array(["x", *texts]).slice(1))] == [texts[:3], texts[3:4], texts[4:]]
+    assert [len(p) for p in langid._pieces(pa.array([None] * 9, pa.string()))] == [9] and not list(langid._pieces(pa.array([], pa.string())))
+    monkeypatch.undo()
+    sample = {"a": ["the cat sat on the mat"], "b": ["die katze lief"]}
+    rows = spark.range(0, 24, 1, 2).selectExpr("id", "CASE WHEN id % 5 = 1 THEN NULL WHEN id % 2 = 0 THEN repeat('the cat ', 40000) ELSE repeat('katze lief ', 30000) END AS text")
+    found = dict(columns(rows.select("id", langid.identify(rows, sample)["lang_pred"].alias("lang_pred")), "id", "lang_pred"))
+    assert found == {i: "und" if i % 5 == 1 else "b" if i % 2 else "a" for i in range(24)}
+
+
 def test_samples_are_windows_of_whole_texts(spark):
     texts = [f"opening words {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 60} closing {i}" for i in range(40)] + ["short", None]
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(3)
